@@ -62,6 +62,11 @@ def buckets_for(df: DataFrame, least: int = 32, most: int = 1 << 16) -> int:
     return n
 
 
+def by_group(f):
+    """A callable object as the one-argument function that ``applyInPandas`` asks for."""
+    return lambda pdf: f(pdf)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import grace_dedup
+from .langid import predict_language
+from .lm_bloom import lm_scores
+from .ngram_join import ngram_join
 from .shards import extendible_shards
 from .token_records import token_records
 
@@ -18,6 +21,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(documents(spark, sf_dir))
+
+
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(documents(spark, sf_dir), limit_bytes=SHARD_BYTES).select("doc_id", "shard", "shard_depth", "shard_bytes")
 
@@ -33,7 +48,10 @@ def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_string_kernel_language": op1_string_kernel_language,
+    "op2_bloom_lm": op2_bloom_lm,
     "op3_extendible_shards": op3_extendible_shards,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_token_records": op7_token_records,
     "op8_grace_dedup": op8_grace_dedup,
 }
@@ -54,6 +72,19 @@ own AS (
 ORACLES: dict[str, str] = {
     "op3_extendible_shards": SHARD_SQL.format(docs="documents", limit=SHARD_BYTES)
     + "SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(prefix::BIT::VARCHAR, 64, '0'), CAST(depth AS INT)) END AS shard, CAST(depth AS INT) AS shard_depth, total AS shard_bytes FROM own",
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' ')) END) AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))),
+edges AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+reach AS (SELECT doc_id AS u, doc_id AS r FROM documents UNION SELECT e.u, p.r FROM reach p JOIN edges e ON e.v = p.u)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(r.r) AS component_id FROM s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, len(s.g)""",
     "op8_grace_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
