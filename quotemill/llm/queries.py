@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import grace_dedup
 from .langid import predict_language
+from .licenses import oracle as license_sql
+from .licenses import scan_licenses
 from .lm_bloom import lm_scores
+from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .shards import extendible_shards
 from .token_records import token_records
@@ -47,6 +50,15 @@ def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(documents(spark, sf_dir))
 
 
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "n_tokens", "source_weight", "source_tokens", "source_budget", "copies", "mix_block")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_kernel_language": op1_string_kernel_language,
     "op2_bloom_lm": op2_bloom_lm,
@@ -54,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_token_records": op7_token_records,
     "op8_grace_dedup": op8_grace_dedup,
+    "op9_temperature_mix": op9_temperature_mix,
+    "op10_license_scan": op10_license_scan,
 }
 
 SHARD_SQL = """
@@ -77,7 +91,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS g FROM w),
 x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
 pairs AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id
@@ -89,4 +103,5 @@ SELECT s.doc_id, len(s.g) AS n_shingles, min(r.r) AS component_id FROM s JOIN re
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op10_license_scan": license_sql(),
 }
