@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import find_leaks
 from .exact_dedup import grace_dedup
 from .langid import predict_language
 from .licenses import oracle as license_sql
@@ -40,6 +41,10 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(documents(spark, sf_dir), limit_bytes=SHARD_BYTES).select("doc_id", "shard", "shard_depth", "shard_bytes")
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bloom_lm": op2_bloom_lm,
     "op3_extendible_shards": op3_extendible_shards,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_token_records": op7_token_records,
     "op8_grace_dedup": op8_grace_dedup,
     "op9_temperature_mix": op9_temperature_mix,
