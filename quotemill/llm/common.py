@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lists of ids of up to this many rows of 24 bytes are broadcast, longer ones are joined by shuffling.
+BROADCAST_ROWS = 1 << 18
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 

@@ -133,7 +133,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 class Predict:
-    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    """The last column is the text; the others are carried along, with lang_pred and score behind them."""
 
     def __init__(self, shared):
         self.shared = shared
@@ -141,7 +141,7 @@ class Predict:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = self.shared.value
         for batch in batches:
-            offsets, data = buffers(batch.column(2))
+            offsets, data = buffers(batch.column(batch.num_columns - 1))
             labels, scores = [], []
             for lo, hi in chunks(offsets, 512 << 10):
                 for i in range(lo, hi, 256):
@@ -157,7 +157,15 @@ class Predict:
                         ok = letters[k] > 0 or any(c.isalpha() for c in part[cuts[k] : cuts[k + 1]].tobytes().decode("utf-8", "replace"))
                         labels.append(model.labels[best[k]] if ok and model is not None else UNDETERMINED)
                         scores.append(float(top[k]) if ok and model is not None else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            cols = [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "lang_pred", "score"])
+
+
+def _learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int, sample_chars: int, landmarks: int):
+    text, lang = F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 4 == 2).alias("held_out"), text, lang)
+    model = fit(*training_sample(base, sample_rows, sample_chars), landmarks=landmarks)
+    return base, docs.sparkSession.sparkContext.broadcast(model)
 
 
 def training_sample(docs: DataFrame, rows: int, chars: int) -> tuple[list[str], list[str]]:
@@ -184,7 +192,18 @@ def predict_language(
     the whole text alone; a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing
     can be learned (no labelled training row).  Repeated rows get equal predictions.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 4 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = fit(*training_sample(base, sample_rows, sample_chars), landmarks=landmarks)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.select("doc_id", "held_out", "text").mapInArrow(Predict(shared), Predict.schema)
+    base, shared = _learn(docs, id_col, text_col, lang_col, sample_rows, sample_chars, landmarks)
+    return base.select("doc_id", "held_out", "text").mapInArrow(Predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_determined(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, landmarks: int = LANDMARKS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told (see :func:`predict_language`)."""
+    _, shared = _learn(docs, id_col, text_col, lang_col, sample_rows, sample_chars, landmarks)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    text = F.col(names[docs.columns.index(text_col)]).cast("string").alias("_text")
+    seen = rows.select("*", text).mapInArrow(Predict(shared), schema).where(F.col("lang_pred") != UNDETERMINED)
+    return seen.select(*names).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentedBloom, buckets_for, by_group, discard, materialise, mix64
+from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_group, discard, materialise, mix64
 from .graph import components
 from .textkit import ngram_hashes, words
 
@@ -35,8 +35,6 @@ RARE_BITS, OFTEN_BITS = 1 << 27, 1 << 23
 OFTEN = 16
 PAIRS_PER_ROW = 16
 BLOCK_TOKENS = 200_000
-#: A candidate list of up to this many rows of 24 bytes is broadcast, a longer one is joined by shuffling.
-BROADCAST_ROWS = 1 << 18
 FLUSH_TOKENS = 2 << 20
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
