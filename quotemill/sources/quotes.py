@@ -34,8 +34,9 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     x = x.where(F.col("_day").isNotNull() & F.col("_h").isNotNull() & F.col("_m").isNotNull() & F.col("_s").isNotNull())
     tod = F.col("_h") * 3_600_000 + F.col("_m") * 60_000 + F.col("_s") * 1000 + F.col("_ms")
     ts = F.col("_day").cast("long") * F.lit(10**9) + F.col("_h").cast("long") * 10_000_000 + F.col("_m") * 100_000 + F.col("_s") * 1000 + F.col("_ms")
-    out = x.withColumns({"date": F.col("_day"), "tod_ms": tod, "ex": at(2), "bid": _price(at(3)), "bid_size": _size(at(4)), "ask": _price(at(5)), "ask_size": _size(at(6)), "qc": at(7), "ts": ts})
-    return out.drop("_f", "_day", "_h", "_m", "_s", "_ms")
+    parsed = {"date": F.col("_day"), "tod_ms": tod, "ex": at(2), "bid": _price(at(3)), "bid_size": _size(at(4)), "ask": _price(at(5)), "ask_size": _size(at(6)), "qc": at(7), "ts": ts}
+    # Through a generator, so that later filters use the parsed values instead of parsing again inside each predicate.
+    return x.select(*lines.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in parsed.items()]))))
 
 
 def read_quotes(spark: SparkSession, folder: str, symbol: str, years: tuple[int, int] = (0, 0)) -> DataFrame:
