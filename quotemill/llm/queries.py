@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .shards import extendible_shards
 from .token_records import token_records
+from .unit_dedup import repeated_spans
 
 SHARD_BYTES = 32 << 20
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +34,10 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir)).drop("text_key", "row")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_kernel_language": op1_string_kernel_language,
     "op2_bloom_lm": op2_bloom_lm,
     "op3_extendible_shards": op3_extendible_shards,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_latent_decontamination": op6_latent_decontamination,
     "op7_token_records": op7_token_records,
