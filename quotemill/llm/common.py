@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +36,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quotemill-{uuid.uuid4().hex}"
 
 
+#: Rows of text in an Arrow batch at most, while a table is written; a batch is held in the JVM and in Python at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Smaller Arrow batches for what is planned inside; the session's setting comes back afterwards."""
+    old = spark.conf.get(_BATCH)
+    if not 0 < int(old) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old)
+
+
+def tidy() -> None:
+    """Give memory that this Python worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        tidy()
+
+
 def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._quotemill_path = path
     return out
@@ -58,7 +94,7 @@ def id_crc(col: Column | str) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")))
 
 
-def buckets_for(df: DataFrame, least: int = 32, most: int = 1 << 16) -> int:
+def buckets_for(df: DataFrame, least: int = 128, most: int = 1 << 16) -> int:
     """A power of two that follows the number of input partitions."""
     parts, n = df.rdd.getNumPartitions(), least
     while n < parts and n < most:
@@ -68,7 +104,19 @@ def buckets_for(df: DataFrame, least: int = 32, most: int = 1 << 16) -> int:
 
 def by_group(f):
     """A callable object as the one-argument function that ``applyInPandas`` asks for."""
-    return lambda pdf: f(pdf)
+
+    def run(pdf):
+        try:
+            return f(pdf)
+        finally:
+            tidy()
+
+    return run
+
+
+def by_batch(f):
+    """A callable object over batches as a function for ``mapInArrow`` that leaves no memory behind."""
+    return lambda batches: tidied(f(batches))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .common import mix64
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P = 0x9E3779B97F4A7C15

@@ -3,7 +3,8 @@
 File format.  A file is a sequence of records, each
 ``length u64 | masked crc u32 of those 8 bytes | payload | masked crc u32 of the payload | 0x0A``, little-endian, where
 masked(c) = (rotate c right by 15) + 0xa282ead8 mod 2**32 over zlib's crc32.  A payload is
-``doc_id i64 | has_id u8 | count u32 | count ids u32``.  Files are written by Spark's own writer (any file system, task commit,
+``doc_id i64 | flags u8 | count u32 | ids``, with flag 1 if there is a doc_id and flag 2 if
+the ids are u16 (none is over 65,535), else u32.  Files are written by Spark's own writer (any file system, task commit,
 retries) in ascending doc_id order, one range of ids a file.  The index is a table (doc_id, file, offset, length).
 """
 
@@ -18,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches, tidied, tidy
 from .textkit import buffers, ragged, words
 
 END_ID = 2
 HEAD, BODY = "<QI", "<qBI"
 BODY_BYTES = struct.calcsize(BODY)
 #: Words kept in a worker's cache of encoded words, and bytes of a range of rows for one file.
-CACHE_WORDS = 1 << 20
-FILE_TEXT_BYTES = 64 << 20
+CACHE_WORDS = 1 << 19
+FILE_TEXT_BYTES = 16 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -58,6 +59,18 @@ def frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = stop
 
 
+def pack(doc: int | None, ids: np.ndarray) -> bytes:
+    """A payload."""
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return struct.pack(BODY, 0 if doc is None else doc, (doc is not None) + 2 * narrow, len(ids)) + ids.astype("<u2" if narrow else "<u4").tobytes()
+
+
+def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of a payload."""
+    doc, flags, n = struct.unpack_from(BODY, payload)
+    return doc if flags & 1 else None, np.frombuffer(payload, "<u2" if flags & 2 else "<u4", n, BODY_BYTES).astype("<u4")
+
+
 class WordEncoder:
     """Encodes texts through a cache of white-space words.
 
@@ -66,6 +79,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +96,7 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self.clear()
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [x.ids for i in range(0, len(texts), 2048) for x in self.tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
         starts = len(self.ids) + np.cumsum(sizes) - sizes
@@ -118,11 +134,11 @@ def _encode(path: str, end_id: int):
             for ids, bounds in encoder.encode(batch.column(1)):
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     doc = docs[i]
-                    payload = struct.pack(BODY, 0 if doc is None else doc, doc is not None, b - a + 1) + ids[a:b].tobytes() + tail.tobytes()
-                    out.append(frame(payload)[:-1])  # the writer adds the last byte
+                    out.append(frame(pack(doc, np.append(ids[a:b], tail)))[:-1])  # the writer adds the last byte
                     i += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                 out = []
+        tidy()
 
     return run
 
@@ -134,43 +150,49 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         total = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(base.rdd.getNumPartitions() if total > FILE_TEXT_BYTES else 1, total // FILE_TEXT_BYTES + 1)
     ordered = base.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_encode(tokenizer, end_id), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            docs, offs, sizes, counts, crcs, ids = [], [], [], [], [], []
-            for at, size, payload in frames(content.as_py()):
-                doc, has, n = struct.unpack_from(BODY, payload)
-                docs.append(doc if has else None)
-                offs.append(at)
-                sizes.append(size)
-                counts.append(n)
-                crcs.append(zlib.crc32(payload[BODY_BYTES :]))
-                ids.append(payload[BODY_BYTES :])
-                if len(docs) >= 4096:
-                    yield _parsed(path, docs, offs, sizes, counts, crcs, ids)
-                    docs, offs, sizes, counts, crcs, ids = [], [], [], [], [], []
-            if docs:
-                yield _parsed(path, docs, offs, sizes, counts, crcs, ids)
-
-
-def _parsed(path, docs, offs, sizes, counts, crcs, ids) -> pa.RecordBatch:
-    kinds = (pa.string(), *[pa.int64()] * 5, pa.binary())
-    cols = ([path.rsplit("/", 1)[-1]] * len(docs), docs, offs, sizes, counts, crcs, ids)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "doc_id", "offset", "length", "n_tokens", "ids_crc32", "ids"])
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+    records = ordered.mapInArrow(_encode(tokenizer, end_id), "record binary").select(F.col("record").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        records.write.option("lineSep", "\n").text(path)
+
+
+class _Parse:
+    """Records of whole files; the ids themselves only if asked for."""
+
+    def __init__(self, ids: bool):
+        self.ids = ids
+        self.schema = "file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows: list[tuple] = []
+                for at, size, payload in frames(content.as_py()):
+                    doc, got = unpack(payload)
+                    raw = got.tobytes()
+                    rows.append((path.rsplit("/", 1)[-1], doc, at, size, len(got), zlib.crc32(raw), *[raw] * self.ids))
+                    if len(rows) == 512:
+                        yield self._batch(rows)
+                        rows = []
+                if rows:
+                    yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), *[pa.int64()] * 5, pa.binary()]
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in self.schema.split(", ")])
+
+
+def read_records(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """Every record of a folder: file, doc_id, offset, length, n_tokens, ids_crc32, ids (little-endian u32); checks all checksums."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(_parse, "file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, ids binary")
+    parse = _Parse(ids)
+    return files.mapInArrow(lambda batches: tidied(parse(batches)), parse.schema)
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """The offset index of a folder of records, written as its own table, with the digest of each record."""
-    read_records(spark, path).drop("ids").write.parquet(index_path)
+    with small_batches(spark, 1):  # a row is a file
+        read_records(spark, path, ids=False).write.parquet(index_path)
     return spark.read.parquet(index_path)
 
 
