@@ -117,7 +117,7 @@ def glitch_report(by_hour: DataFrame) -> str:
     totals: dict[str, int] = {}
     for r in rows:
         totals[r["category"]] = totals.get(r["category"], 0) + r["n"]
-    lines = ["NBBO pipeline glitch report", "", "Totals:", *[f"{k:<22} : {totals[k]}" for k in sorted(totals)], "", "By hour (RTH):"]
+    lines = ["Quote glitch report", "", "Totals:", *[f"{k:<22} : {totals[k]}" for k in sorted(totals)], "", "By hour (RTH):"]
     at = {(r["category"], r["hour"]): r["n"] for r in rows}
     for k in sorted(totals):
         lines += ["", f"[{k}]", *[f"  {h}:00 - {at.get((k, h), 0)}" for h in range(9, 16)]]
