@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_group, discard, materialise, mix64
+from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_group, discard, materialise, mix64, small_batches
 from .graph import components
 from .textkit import ngram_hashes, words
 
-RARE_BITS, OFTEN_BITS = 1 << 27, 1 << 23
+RARE_BITS, OFTEN_BITS = 1 << 26, 1 << 22
 OFTEN = 16
 PAIRS_PER_ROW = 16
 BLOCK_TOKENS = 200_000
-FLUSH_TOKENS = 2 << 20
+FLUSH_TOKENS = 1 << 20
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -75,7 +75,7 @@ class Sets:
                 sizes.append(len(s))
                 digests.append(d)
                 tokens.append(raw if new else None)
-                if held > 8 << 20 or len(sizes) == 4096:
+                if held > 4 << 20 or len(sizes) == 4096:
                     yield self._batch(ids.slice(k, len(sizes)), sizes, digests, tokens)
                     k += len(sizes)
                     sizes, digests, tokens, held = [], [], [], 0
@@ -285,17 +285,17 @@ def _small(df: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, rare_bits: int, often_bits: int, often: int):
         self.percent, self.spark = percent, docs.sparkSession
-        self.sets = materialise(docs.mapInArrow(Sets(n), Sets.schema), "sets")
+        self.sets = materialise(docs.mapInArrow(by_batch(Sets(n)), Sets.schema), "sets")
         known = self.sets.where("digest is not null and doc_id is not null")
         self.classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
         buckets = buckets_for(self.sets)
-        counted = self.sets.select("tokens").where("tokens is not null").mapInArrow(TokenKeys(buckets), TokenKeys.schema)
+        counted = self.sets.select("tokens").where("tokens is not null").mapInArrow(by_batch(TokenKeys(buckets)), TokenKeys.schema)
         twice, often_f = filters(buckets, rare_bits, often_bits)
-        for r in counted.groupBy("bucket").applyInPandas(by_group(TokenClasses(buckets, rare_bits, often_bits, often)), TokenClasses.schema).toLocalIterator():
+        for r in counted.groupBy("bucket").applyInPandas(by_group(TokenClasses(buckets, rare_bits, often_bits, often)), TokenClasses.schema).collect():  # the filters' own bits
             twice.place(r["bucket"], r["twice"])
             often_f.place(r["bucket"], r["often"])
         self.shared = self.spark.sparkContext.broadcast((twice, often_f))
-        prefixes = self.sets.select("digest", "tokens").where("tokens is not null").mapInArrow(Prefixes(self.shared, percent), Prefixes.schema)
+        prefixes = self.sets.select("digest", "tokens").where("tokens is not null").mapInArrow(by_batch(Prefixes(self.shared, percent)), Prefixes.schema)
         prefixes = prefixes.dropDuplicates(["digest"]).join(self.classes, "digest")
         self.nodes = materialise(prefixes.select("node", "digest", "n", "own", "a", "b", "c"), "nodes")
 
@@ -321,7 +321,7 @@ class _Join:
         got = materialise(self.fetch(both), "fetched")
         side = lambda k: got.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         ready = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv")
-        out = materialise(ready.mapInArrow(Verify(self.percent), Verify.schema), "links")
+        out = materialise(ready.mapInArrow(by_batch(Verify(self.percent)), Verify.schema), "links")
         discard(got)
         discard(pairs)
         return out
