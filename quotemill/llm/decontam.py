@@ -2,10 +2,10 @@
 
 * Benchmark items are cut to pieces of at most ``PIECE`` words.  The features are the pieces' words, weighted by IDF over all
   documents; the rows are passages of ``WINDOW`` words of all documents, and the pieces.
-* A randomised SVD of that matrix takes two passes: tasks add up ``A'(A S)`` for a thin matrix S of fixed size, the
-  driver only orthonormalises sums of that size.
-* Every window of every document (``WINDOW`` words, a step of ``STEP``) is projected, and is a candidate for a piece if
-  their cosine reaches ``COSINE``.
+* A randomised SVD of that matrix takes one pass: tasks add up ``A'(A S)`` for a thin random matrix S of fixed size, and
+  the driver factorises sums of that size only.
+* Every window of every document, at a step of ``STEP`` words and as long as a piece of that length may reach, is projected,
+  and is a candidate for the piece if their cosine reaches ``COSINE``.
 * A candidate counts if the longest common subsequence with the words around the window covers ``COVER`` of the piece, or
   ``PARAPHRASE`` of it while the answer, its last words, stands there unchanged.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import by_batch, by_group, materialise, small_batches
 from .textkit import Words, words
 
 PIECE, WINDOW, STEP = 64, 64, 16
@@ -84,7 +84,7 @@ def _blocks(rows: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[Block]:
 class Frequencies:
     """How many documents of a task have each feature."""
 
-    schema = "n long, df binary"
+    schema = "part int, rows binary"
 
     def __init__(self, shared):
         self.shared = shared
@@ -99,7 +99,8 @@ class Frequencies:
                 key = np.unique(w.docs()[ok] * size + x[ok])
                 df += np.bincount(key % size, minlength=size)
                 n += w.count
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
+        total = np.concatenate([[n], df]).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "rows"])
 
 
 def passages(block: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +147,17 @@ class Sketch:
                 some = True
         if some:
             for k, part in enumerate(np.array_split(out, SKETCH_PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float64).tobytes()], pa.binary())], ["part", "rows"])
 
 
 SKETCH_PARTS = 12
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["rows"].iloc[0]) // 4, np.float32)
+    """Sums of the vectors of one part, as doubles."""
+    total = np.zeros(len(pdf["rows"].iloc[0]) // 8)
     for x in pdf["rows"]:
-        total += np.frombuffer(x, np.float32)
+        total += np.frombuffer(x)
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "rows": [total.tobytes()]})
 
 
@@ -201,8 +203,9 @@ class Search:
         table = block.idf[:, None] * block.basis
         goal = np.add.reduceat(table[block.flat], block.cuts[:-1], axis=0)
         goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
-        goal = np.ascontiguousarray(goal.T)
-        groups = WINDOW // STEP
+        # A piece is looked for in windows of as many steps as it may touch, so little else is in them.
+        reach = (np.diff(block.cuts) + 2 * STEP - 2) // STEP
+        classes = [(int(g), np.flatnonzero(reach == g), np.ascontiguousarray(goal[reach == g].T)) for g in np.unique(reach)]
         members = np.zeros((len(block.words), len(block.vocabulary)), bool)
         members[np.repeat(np.arange(len(block.words)), np.diff(block.cuts)), block.flat] = True
         sizes = np.diff(block.cuts)
@@ -223,18 +226,21 @@ class Search:
                 sums = np.zeros((len(start), table.shape[1]), np.float32)
                 if len(ok):
                     sums[cell[first]] = np.add.reduceat(table[x[ok]], first, axis=0)
-                window = sums.copy()
-                for k in range(1, groups):
-                    same = doc_of[k:] == doc_of[:-k]
-                    window[:-k][same] += sums[k:][same]
-                norm = np.linalg.norm(window, axis=1)
-                cosine = window @ goal
-                cosine /= np.maximum(norm, 1e-9)[:, None]
-                hits = np.argwhere(cosine >= COSINE)
                 done: dict[tuple[int, int], int] = {}
-                for c, p in hits.tolist():
+                window, width = sums.copy(), 1
+                hits = []
+                for g, own, target in classes:
+                    while width < g:
+                        same = doc_of[width:] == doc_of[:-width]
+                        window[:-width][same] += sums[width:][same]
+                        width += 1
+                    cosine = window @ target
+                    cosine /= np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
+                    at_c, at_p = np.nonzero(cosine >= COSINE)
+                    hits += zip(at_c.tolist(), own[at_p].tolist(), [g] * len(at_c), cosine[at_c, at_p].tolist(), strict=True)
+                for c, p, g, value in hits:
                     d, size = int(doc_of[c]), int(sizes[p])
-                    lo, hi = max(int(w.bounds[d]), int(start[c]) - size), min(int(w.bounds[d + 1]), int(start[c]) + WINDOW + size)
+                    lo, hi = max(int(w.bounds[d]), int(start[c]) - size), min(int(w.bounds[d + 1]), int(start[c]) + g * STEP + size)
                     old = done.get((d, p))
                     if old is not None and hi <= old:
                         continue
@@ -245,41 +251,51 @@ class Search:
                     cover, answer = judge(block.words[p], w.hashes[lo:hi])
                     if cover >= COVER or (cover >= PARAPHRASE and answer):
                         done[d, p] = hi
-                        found.append((ids[w.first + d].as_py(), int(block.item[p]), int(block.part[p]), float(cosine[c, p]), cover, answer, int(start[c] - w.bounds[d])))
+                        found.append((ids[w.first + d].as_py(), int(block.item[p]), int(block.part[p]), value, cover, answer, int(start[c] - w.bounds[d])))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             cols = list(zip(*found, strict=True)) if found else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "part", "cosine", "cover", "answer", "position"])
 
 
+def _rows(df: DataFrame) -> list:
+    """Rows of a sum of fixed size."""
+    with small_batches(df.sparkSession):
+        return df.collect()
+
+
 def fit_block(texts: DataFrame, block: Block, rank: int = RANK, oversample: int = OVERSAMPLE, seed: int = 5) -> None:
     """IDF and the latent basis of a block, over all documents; nothing larger than words x rank reaches the driver."""
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast(block)
-    n, df = 0, np.zeros(len(block.vocabulary), np.int64)
-    for r in texts.mapInArrow(Frequencies(shared), Frequencies.schema).toLocalIterator():
-        n += r["n"]
-        df += np.frombuffer(r["df"], np.int64)
+    n, df = 0, np.zeros(len(block.vocabulary))
+    for r in _rows(texts.mapInArrow(by_batch(Frequencies(shared)), Frequencies.schema).groupBy("part").applyInPandas(by_group(_add), Frequencies.schema)):
+        total = np.frombuffer(r["rows"])
+        n, df = total[0], total[1:]
     block.idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
     width = min(len(block.vocabulary), rank + oversample)
     rng = np.random.default_rng(seed)
     block.basis = rng.standard_normal((len(block.vocabulary), width)).astype(np.float32)
     own = np.repeat(np.arange(len(block.words)), np.diff(block.cuts))
-    for step in range(2):
-        shared.destroy()
-        shared = sc.broadcast(block)
-        y = np.zeros(block.basis.shape, np.float32)
-        parts = {r["part"]: r["rows"] for r in texts.mapInArrow(Sketch(shared), Sketch.schema).groupBy("part").applyInPandas(_add, Sketch.schema).toLocalIterator()}
-        if parts:
-            y = np.concatenate([np.frombuffer(parts[k], np.float32) for k in sorted(parts)]).reshape(y.shape).copy()
-        mine = np.zeros(block.basis.shape, np.float32)
-        covariance_times(block.idf, block.basis, block.flat, own, mine)
-        # The pieces count as much as the documents' passages, so that their words are in the basis.
-        y += mine * max(1.0, float(np.abs(y).max()) / max(1e-9, float(np.abs(mine).max())))
-        if step == 0:
-            block.basis = np.linalg.qr(y)[0].astype(np.float32)
-        else:
-            values, vectors = np.linalg.eigh((block.basis.T @ y + y.T @ block.basis) / 2)
-            block.basis = np.ascontiguousarray((block.basis @ vectors[:, -min(rank, width) :]).astype(np.float32))
+    # One pass: for the covariance C = A'A the sketch Y = C S gives its Nystrom form Y (S'Y)^-1 Y', whose eigenvectors are
+    # the right singular vectors of A.
+    block.basis = np.linalg.qr(block.basis)[0].astype(np.float32)
+    shared.destroy()
+    shared = sc.broadcast(block)
+    y = np.zeros(block.basis.shape, np.float32)
+    parts = {r["part"]: r["rows"] for r in _rows(texts.mapInArrow(by_batch(Sketch(shared)), Sketch.schema).groupBy("part").applyInPandas(by_group(_add), Sketch.schema))}
+    if parts:
+        y = np.concatenate([np.frombuffer(parts[k]) for k in sorted(parts)]).reshape(y.shape)
+    mine = np.zeros(block.basis.shape, np.float32)
+    covariance_times(block.idf, block.basis, block.flat, own, mine)
+    # The pieces count as much as the documents' passages, so that their words are in the basis.
+    y += mine * max(1.0, float(np.abs(y).max()) / max(1e-9, float(np.abs(mine).max())))
+    s, y = block.basis.astype(np.float64), y.astype(np.float64)
+    y += 1e-6 * np.linalg.norm(y) * s
+    core = s.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > values.max() * 1e-12
+    left = np.linalg.svd((y @ vectors[:, good]) / np.sqrt(values[good]), full_matrices=False)[0]
+    block.basis = np.ascontiguousarray(left[:, :rank].astype(np.float32))
     shared.destroy()
 
 
@@ -307,7 +323,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = spark.createDataFrame([], Search.schema)
     for block in _blocks(rows()):
         fit_block(base.select("text"), block)
-        out = out.unionByName(materialise(base.mapInArrow(Search(spark.sparkContext.broadcast(block)), Search.schema), "leaks"))
+        out = out.unionByName(materialise(base.mapInArrow(by_batch(Search(spark.sparkContext.broadcast(block))), Search.schema), "leaks"))
     best = F.max(F.struct("cover", "cosine", "answer", (-F.col("position")).alias("p"))).alias("best")
     out = out.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("best.cosine").alias("cosine"), F.col("best.cover").alias("cover"), F.col("best.answer").alias("answer"), (-F.col("best.p")).alias("position"), F.lit(True).alias("contaminated"))
