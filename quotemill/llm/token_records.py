@@ -27,6 +27,7 @@ HEAD, BODY = "<QI", "<qBI"
 BODY_BYTES = struct.calcsize(BODY)
 #: Words kept in a worker's cache of encoded words, and bytes of a range of rows for one file.
 CACHE_WORDS = 1 << 19
+GROUP_WORDS = 512
 FILE_TEXT_BYTES = 16 << 20
 
 
@@ -94,20 +95,23 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self.clear()
-        got = [x.ids for i in range(0, len(texts), 2048) for x in self.tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        """Encode new words, many to a text; a token's place in the text tells its word.  ``keys`` ascend."""
+        ids, sizes = [], []
+        groups = [texts[i : i + GROUP_WORDS] for i in range(0, len(texts), GROUP_WORDS)]
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(t) + 1 for t in group])
+            at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(group)))
+        flat, sizes = np.concatenate(ids), np.concatenate(sizes)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, flat])
-        keys, starts, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
-        order = np.argsort(keys)
-        self.keys, self.start, self.size = keys[order], starts[order], sizes[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, starts), np.insert(self.size, at, sizes)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of documents: (ids, bounds); document i has ids[bounds[i]:bounds[i+1]], without an end id."""
-        for w in words(texts, fold=False):
+        for w in words(texts, fold=False, limit=1 << 20):
             distinct, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
             at = np.searchsorted(self.keys, distinct)
             known = self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
@@ -125,9 +129,19 @@ class WordEncoder:
             yield ids, total[w.bounds]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder; its cache lives on from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             docs, out, i = batch.column(0).to_pylist(), [], 0
