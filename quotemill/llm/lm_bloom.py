@@ -3,7 +3,7 @@
 Counts of words, pairs and triples are summed over all training texts.  An n-gram of count c enters the filter once
 for each level 1 .. floor(log2 c) + 1; a lookup probes level after level until one is missing, and the last level found
 stands for the count.  Probabilities are Dirichlet-smoothed from triples down to words.  Pairs and triples seen once
-are left out.  The filter's bits follow the number of training tokens up to ``MAX_BITS``, so its broadcast is bounded.
+are left out.  The filter's bits follow the size of the training text up to ``MAX_BITS``, so its broadcast is bounded.
 
 Base scores are exact: the counts of the ``TOP_WORDS`` commonest words go to every task, all other words are looked up by a join.
 """
@@ -19,21 +19,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentedBloom, buckets_for, by_group, id_crc, materialise
+from .common import SegmentedBloom, buckets_for, by_batch, by_group, id_crc, materialise
 from .ngram_join import unpack_keys
 from .textkit import ngram_hashes, words
 
-MAX_BITS, LEAST_BITS = 1 << 28, 1 << 20
+MAX_BITS, LEAST_BITS = 1 << 27, 1 << 20
 HASHES = 2
 ORDERS = 3
 STRENGTH = (0.0, 0.0, 300.0, 100.0)
 TOP_WORDS = 1 << 18
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 END = np.uint64(0xE5A9D1C37B2F8604)
 LEVEL_STEP = 0xC2B2AE3D27D4EB4F
 
 
-def tokens(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def tokens(texts: pa.Array, limit: int = 512 << 10) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, token hashes, bounds) with the end token after each document's words."""
     for w in words(texts, limit=limit):
         h = np.insert(w.hashes, w.bounds[1:], END)
@@ -97,17 +97,23 @@ class Counts:
 
 
 class WordCounts:
-    """Reduce side of words: exact (hash, count)."""
-
-    schema = "hash long, count long"
+    """Exact (hash, count) of the words of a bucket."""
 
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
+        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in pdf["keys"]]])
+        counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in pdf["counts"]]])
         keys, back = np.unique(keys, return_inverse=True)
         return pd.DataFrame({"hash": keys.view(np.int64), "count": np.bincount(back, counts).astype(np.int64)})
 
 
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, c in zip(batch.column(0), batch.column(1), strict=True):
+            h, c = (np.frombuffer(x.as_py(), np.int64) for x in (h, c))
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)]), pa.array(c[i : i + (1 << 16)])], ["hash", "count"])
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
@@ -119,9 +125,9 @@ def leveled(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 class Segment:
-    """Reduce side of one bucket: the filter's segment of all its n-grams at all their levels."""
+    """Reduce side of one bucket: exact word counts, and the filter's segment of all its n-grams at all their levels."""
 
-    schema = "bucket int, segment binary"
+    schema = "bucket int, segment binary, hashes binary, counts binary, n long, v long"
 
     def __init__(self, buckets: int, bits: int):
         self.buckets, self.size = buckets, bits
@@ -129,9 +135,8 @@ class Segment:
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, bits = int(pdf["bucket"].iloc[0]), self.buckets.bit_length() - 1
         words_, longer = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        sets = []
-        if len(words_):
-            w = WordCounts()(words_)
+        sets, w = [], WordCounts()(words_)
+        if len(w):
             sets.append((w["hash"].to_numpy().view(np.uint64) >> np.uint64(24) << np.uint64(24), w["count"].to_numpy()))
         if len(longer):
             parts = [unpack_keys(x, bucket, bits) for x in longer["keys"]]
@@ -144,7 +149,9 @@ class Segment:
             keys, high = keys[m], high[m]
             found.append(leveled(keys, level))
             level += 1
-        return pd.DataFrame({"bucket": [bucket], "segment": [bloom.segment_bytes(np.concatenate(found), bucket)]})
+        segment = bloom.segment_bytes(np.concatenate([np.zeros(0, np.uint64), *found]), bucket)
+        hashes, counts = w["hash"].to_numpy(), w["count"].to_numpy()
+        return pd.DataFrame({"bucket": [bucket], "segment": [segment], "hashes": [hashes.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(counts)]})
 
 
 def lookup(bloom: SegmentedBloom, keys: np.ndarray) -> np.ndarray:
@@ -173,7 +180,7 @@ class Score:
         mass = self.n + 0.1 * (self.v + 1)
         top_logs = np.log10((top_counts + 0.1) / mass)
         for batch in batches:
-            for first, h, bounds in tokens(batch.column(2), limit=1 << 20):
+            for first, h, bounds in tokens(batch.column(2), limit=512 << 10):
                 count = len(bounds) - 1
                 distinct, back = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
@@ -210,20 +217,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 10 == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     buckets = buckets_for(docs)
-    counts = materialise(base.where("not held_out").select("text").mapInArrow(Counts(buckets), Counts.schema), "counts")
-    vocabulary = materialise(counts.where("kind = 0").groupBy("bucket").applyInPandas(by_group(WordCounts()), WordCounts.schema), "words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    # Bytes of text stand in for tokens when the filter is sized: about four bits a token.
+    octets = base.where("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = LEAST_BITS
-    while bits < 4 * n and bits < max_bits:
+    while bits < octets and bits < max_bits:
         bits *= 2
+    counts = base.where("not held_out").select("text").mapInArrow(by_batch(Counts(buckets)), Counts.schema)
+    reduced = materialise(counts.groupBy("bucket").applyInPandas(by_group(Segment(buckets, bits)), Segment.schema), "counts")
+    n, v = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     bloom = SegmentedBloom(bits, buckets, HASHES)
-    for r in counts.groupBy("bucket").applyInPandas(by_group(Segment(buckets, bits)), Segment.schema).toLocalIterator():
+    for r in reduced.select("bucket", "segment").toLocalIterator():  # the filter's own bits
         bloom.place(r["bucket"], r["segment"])
+    vocabulary = reduced.select("hashes", "counts").mapInArrow(by_batch(_word_rows), "hash long, count long")
     top = vocabulary.orderBy(F.desc("count"), "hash").limit(top_words).toPandas()
     keys = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((bloom, keys[order], top["count"].to_numpy(np.int64)[order]))
-    scored = materialise(base.mapInArrow(Score(shared, n, v), Score.schema), "scored")
+    scored = materialise(base.mapInArrow(by_batch(Score(shared, n, v)), Score.schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("hash")).join(vocabulary, "hash", "left")
     mass = n + 0.1 * (v + 1)
     c = F.coalesce(F.col("count"), F.lit(0))
