@@ -5,7 +5,8 @@
 * A randomised SVD of that matrix takes one pass: tasks add up ``A'(A S)`` for a thin random matrix S of fixed size, and
   the driver factorises sums of that size only.
 * Every window of every document, at a step of ``STEP`` words and as long as a piece of that length may reach, is projected,
-  and is a candidate for the piece if their cosine reaches ``COSINE``.
+  and is a candidate for the piece if their cosine reaches ``COSINE``, or for pieces short of their window the lower cosine
+  that it leaves them.
 * A candidate counts if the longest common subsequence with the words around the window covers ``COVER`` of the piece, or
   ``PARAPHRASE`` of it while the answer, its last words, stands there unchanged.
 
@@ -28,7 +29,7 @@ from .textkit import Words, words
 
 PIECE, WINDOW, STEP = 64, 64, 16
 RANK, OVERSAMPLE = 160, 16
-COSINE = 0.7
+COSINE, SLACK = 0.7, 0.9
 COVER, PARAPHRASE = 0.8, 0.6
 ANSWER_SHARE, ANSWER_LEAST = 0.25, 4
 #: Pieces and distinct words of a block at most, so the broadcast stays below 24 MB.
@@ -205,6 +206,8 @@ class Search:
         goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
         # A piece is looked for in windows of as many steps as it may touch, so little else is in them.
         reach = (np.diff(block.cuts) + 2 * STEP - 2) // STEP
+        # A piece that fills little of its worst placed window cannot reach the usual cosine there.
+        least = np.minimum(COSINE, SLACK * np.sqrt(np.diff(block.cuts) / (reach * STEP))).astype(np.float32)
         classes = [(int(g), np.flatnonzero(reach == g), np.ascontiguousarray(goal[reach == g].T)) for g in np.unique(reach)]
         members = np.zeros((len(block.words), len(block.vocabulary)), bool)
         members[np.repeat(np.arange(len(block.words)), np.diff(block.cuts)), block.flat] = True
@@ -236,7 +239,7 @@ class Search:
                         width += 1
                     cosine = window @ target
                     cosine /= np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
-                    at_c, at_p = np.nonzero(cosine >= COSINE)
+                    at_c, at_p = np.nonzero(cosine >= least[own])
                     hits += zip(at_c.tolist(), own[at_p].tolist(), [g] * len(at_c), cosine[at_c, at_p].tolist(), strict=True)
                 for c, p, g, value in hits:
                     d, size = int(doc_of[c]), int(sizes[p])
