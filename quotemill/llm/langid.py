@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import by_batch, id_crc
 from .textkit import buffers, chunks
 
 LENGTHS = (1, 2, 3, 4)
@@ -193,7 +193,7 @@ def predict_language(
     can be learned (no labelled training row).  Repeated rows get equal predictions.
     """
     base, shared = _learn(docs, id_col, text_col, lang_col, sample_rows, sample_chars, landmarks)
-    return base.select("doc_id", "held_out", "text").mapInArrow(Predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return base.select("doc_id", "held_out", "text").mapInArrow(by_batch(Predict(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_determined(
@@ -205,5 +205,5 @@ def keep_determined(
     rows = docs.toDF(*names)
     schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     text = F.col(names[docs.columns.index(text_col)]).cast("string").alias("_text")
-    seen = rows.select("*", text).mapInArrow(Predict(shared), schema).where(F.col("lang_pred") != UNDETERMINED)
+    seen = rows.select("*", text).mapInArrow(by_batch(Predict(shared)), schema).where(F.col("lang_pred") != UNDETERMINED)
     return seen.select(*names).toDF(*docs.columns)
