@@ -3,7 +3,11 @@
 Counts of words, pairs and triples are summed over all training texts.  An n-gram of count c enters the filter once
 for each level 1 .. floor(log2 c) + 1; a lookup probes level after level until one is missing, and the last level found
 stands for the count.  Probabilities are Dirichlet-smoothed from triples down to words.  Pairs and triples seen once
-are left out.  The filter's bits follow the size of the training text up to ``MAX_BITS``, so its broadcast is bounded.
+are left out.
+
+The filter's bits follow the number of its entries, without a ceiling, and it is never broadcast: it lies in segments, one for each
+range of hashes.  Texts are packed into chunks, the distinct n-grams of a chunk go to their segment, which answers with their levels, and
+the answers meet the chunk's texts again.
 
 Base scores are exact: the counts of the ``TOP_WORDS`` commonest words go to every task, all other words are looked up by a join.
 """
@@ -19,16 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentedBloom, buckets_for, by_batch, by_group, id_crc, materialise
+from .common import SegmentedBloom, buckets_for, by_batch, by_group, id_crc, materialise, small_batches, tidy
 from .ngram_join import unpack_keys
 from .textkit import ngram_hashes, words
 
-MAX_BITS, LEAST_BITS = 1 << 27, 1 << 20
+BITS_PER_ENTRY = 16
 HASHES = 2
 ORDERS = 3
 STRENGTH = (0.0, 0.0, 300.0, 100.0)
 TOP_WORDS = 1 << 18
-FLUSH = 1 << 20
+CHUNK_BYTES = 6 << 20
+CHUNK_ROWS = 8
+BUCKET_BYTES = 1 << 25
 END = np.uint64(0xE5A9D1C37B2F8604)
 LEVEL_STEP = 0xC2B2AE3D27D4EB4F
 
@@ -49,51 +55,90 @@ def grams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return ngram_hashes(h, n)[at], at + n - 1
 
 
+class Pack:
+    """Consecutive texts of about ``CHUNK_BYTES`` as one row; a chunk's number is that of its first text."""
+
+    schema = "chunk long, ids array<long>, held array<boolean>, texts array<string>"
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 36
+        parts, size = [], 0
+        for batch in batches:
+            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, before = 0, 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES - size, "right")))
+                parts.append(batch.slice(at, to - at))
+                size += int(sizes[to - 1]) - before
+                at, before = to, int(sizes[to - 1])
+                if size >= CHUNK_BYTES or at < batch.num_rows:
+                    yield self._chunk(row, parts)
+                    row += sum(p.num_rows for p in parts)
+                    parts, size = [], 0
+        if parts:
+            yield self._chunk(row, parts)
+
+    def _chunk(self, row: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        cols = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), pa.concat_arrays(c.chunks)) for c in t.columns]
+        return pa.RecordBatch.from_arrays([pa.array([row]), *cols], ["chunk", "ids", "held", "texts"])
+
+
+def distinct_grams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (keys, counts) of the texts' words, as hashes, and of their pairs and triples, as 40-bit keys."""
+    held: list[list] = [[np.zeros(0, np.uint64)] for _ in range(ORDERS)]
+    for _, h, bounds in tokens(texts):
+        held[0].append(h)
+        for n in range(2, ORDERS + 1):
+            held[n - 1].append(grams(h, bounds, n)[0] >> np.uint64(24))
+    return [np.unique(np.concatenate(x), return_counts=True) for x in held]
+
+
+def sides(held: pa.Array) -> list[np.ndarray]:
+    """Positions of the training texts of a chunk and of those held out."""
+    held = held.to_numpy(zero_copy_only=False).astype(bool)
+    return [np.flatnonzero(~held), np.flatnonzero(held)]
+
+
 class Counts:
-    """Map side: words as (hash, count), longer n-grams as bucketed 40-bit keys with counts; kind 0 and 1."""
+    """Map side: a chunk's words as (hash, count), its longer n-grams as bucketed 40-bit keys with counts.
 
-    schema = "kind int, bucket int, keys binary, counts binary"
+    Kinds 0, 1 and 2 are words, pairs and triples of training texts; 3, 4 and 5 those of texts held out, which are asked for only.
+    """
+
+    schema = "chunk long, kind int, bucket int, keys binary, counts binary"
 
     def __init__(self, buckets: int):
         self.buckets, self.bits = buckets, buckets.bit_length() - 1
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {n: [] for n in range(1, ORDERS + 1)}
-        size = 0
         for batch in batches:
-            for _, h, bounds in tokens(batch.column(0)):
-                held[1].append(h)
-                for n in range(2, ORDERS + 1):
-                    held[n].append(grams(h, bounds, n)[0] >> np.uint64(24))
-                size += len(h)
-                if size > FLUSH:
-                    yield from self._flush(held)
-                    size = 0
-        if size:
-            yield from self._flush(held)
-
-    def _flush(self, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(held[1]), return_counts=True)
-        cuts = np.searchsorted(keys, np.arange(self.buckets, dtype=np.uint64) << np.uint64(64 - self.bits))
-        cuts = np.append(cuts, len(keys))
-        for b in range(self.buckets):
-            if cuts[b + 1] > cuts[b]:
-                yield self._row(0, b, keys[cuts[b] : cuts[b + 1]].tobytes(), counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes())
-        held[1] = []
-        for n in range(2, ORDERS + 1):
-            keys, counts = np.unique(np.concatenate(held[n]), return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(40 - self.bits))
+            for i in range(batch.num_rows):
+                texts, rows = batch.column(2)[i].values, []
+                for side, at in enumerate(sides(batch.column(1)[i].values)):
+                    if len(at):
+                        rows += self._rows(distinct_grams(texts.take(pa.array(at))), 3 * side)
+                kinds, buckets, keys, counts = zip(*rows, strict=True)
+                chunk = pa.array([batch.column(0)[i].as_py()] * len(rows))
+                yield pa.RecordBatch.from_arrays([chunk, pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "kind", "bucket", "keys", "counts"])
+
+    def _rows(self, sets: list[tuple[np.ndarray, np.ndarray]], kind: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        for n, (keys, counts) in enumerate(sets):
+            wide_bits = 40 if n else 64
+            cuts = np.searchsorted(keys, np.arange(self.buckets, dtype=np.uint64) << np.uint64(wide_bits - self.bits))
+            cuts = np.append(cuts, len(keys))
             for b in range(self.buckets):
                 part, c = keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
-                if len(part):
-                    steps = np.diff(part, prepend=np.uint64(b << (40 - self.bits)))
-                    wide, many = np.flatnonzero(steps > np.uint64(0xFFFFFFFF)), np.flatnonzero(c > 1)
-                    cols = [np.array([len(part), len(wide), len(many)]), steps & np.uint64(0xFFFFFFFF), wide, steps[wide] >> np.uint64(32), many, c[many]]
-                    yield self._row(1, b, b"".join(x.astype(np.uint32).tobytes() for x in cols), b"")
-            held[n] = []
-
-    def _row(self, kind: int, bucket: int, keys: bytes, counts: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], ["kind", "bucket", "keys", "counts"])
+                if not len(part):
+                    continue
+                if not n:
+                    yield kind, b, part.tobytes(), c.astype(np.uint32).tobytes()
+                    continue
+                steps = np.diff(part, prepend=np.uint64(b << (40 - self.bits)))
+                wide, many = np.flatnonzero(steps > np.uint64(0xFFFFFFFF)), np.flatnonzero(c > 1)
+                cols = [np.array([len(part), len(wide), len(many)]), steps & np.uint64(0xFFFFFFFF), wide, steps[wide] >> np.uint64(32), many, c[many]]
+                yield kind + n, b, b"".join(x.astype(np.uint32).tobytes() for x in cols), b""
 
 
 class WordCounts:
@@ -125,89 +170,145 @@ def leveled(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 class Segment:
-    """Reduce side of one bucket: exact word counts, and the filter's segment of all its n-grams at all their levels."""
+    """Reduce side of one bucket: exact word counts, the filter's segment of all its n-grams at all their levels, and its answers.
 
-    schema = "bucket int, segment binary, hashes binary, counts binary, n long, v long"
+    The segment has ``BITS_PER_ENTRY`` bits an entry, or its part of ``bits`` where that is given.  The first row, of chunk -1, holds the
+    counts; a row for each row of n-grams asked for holds their levels.
+    """
+
+    schema = "chunk long, kind int, bucket int, levels binary, hashes binary, counts binary, n long, v long, segment binary"
 
-    def __init__(self, buckets: int, bits: int):
-        self.buckets, self.size = buckets, bits
+    def __init__(self, buckets: int, bits: int | None = None):
+        self.buckets, self.bits = buckets, bits
 
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, bits = int(pdf["bucket"].iloc[0]), self.buckets.bit_length() - 1
-        words_, longer = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        sets, w = [], WordCounts()(words_)
-        if len(w):
-            sets.append((w["hash"].to_numpy().view(np.uint64) >> np.uint64(24) << np.uint64(24), w["count"].to_numpy()))
-        if len(longer):
-            parts = [unpack_keys(x, bucket, bits) for x in longer["keys"]]
-            keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([p[1] for p in parts]))
-            sets.append((keys[counts > 1] << np.uint64(24), counts[counts > 1]))
-        bloom, found, level = SegmentedBloom(self.size, self.buckets, HASHES), [], 1
-        keys, high = np.concatenate([s[0] for s in sets]), levels(np.concatenate([s[1] for s in sets]))
+        kind = pdf["kind"].to_numpy()
+        w = WordCounts()(pdf[kind == 0])
+        sets = [(w["hash"].to_numpy().view(np.uint64) >> np.uint64(24) << np.uint64(24), w["count"].to_numpy())]
+        longer = pdf[kind % 3 > 0]
+        parts = [unpack_keys(x, bucket, bits) for x in longer["keys"]]
+        keys, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]]), return_inverse=True)
+        seen = np.repeat(longer["kind"].to_numpy() < 3, [len(p[0]) for p in parts])
+        counts = np.bincount(back, np.concatenate([np.zeros(0), *[p[1] for p in parts]]) * seen, len(keys)).astype(np.int64)
+        keys <<= np.uint64(24)
+        sets.append((keys[counts > 1], counts[counts > 1]))
+        del parts
+        found, level = [np.zeros(0, np.uint64)], 1
+        left, high = np.concatenate([s[0] for s in sets]), levels(np.concatenate([s[1] for s in sets]))
         while (m := high >= level).any():
-            keys, high = keys[m], high[m]
-            found.append(leveled(keys, level))
+            left, high = left[m], high[m]
+            found.append(leveled(left, level))
             level += 1
-        segment = bloom.segment_bytes(np.concatenate([np.zeros(0, np.uint64), *found]), bucket)
+        entries = np.concatenate(found)
+        size = len(entries) * BITS_PER_ENTRY if self.bits is None else self.bits // self.buckets
+        bloom = SegmentedBloom(-(-size // 64) * 64, 1, HASHES)
+        segment = bloom.segment_bytes(entries, 0)
+        bloom.place(0, segment)
         hashes, counts = w["hash"].to_numpy(), w["count"].to_numpy()
-        return pd.DataFrame({"bucket": [bucket], "segment": [segment], "hashes": [hashes.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(counts)]})
-
-
-def lookup(bloom: SegmentedBloom, keys: np.ndarray) -> np.ndarray:
-    """Quantised counts by probing level after level."""
+        out = pd.DataFrame({"chunk": [-1], "kind": [-1], "bucket": [bucket], "levels": [b""], "hashes": [hashes.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(counts)], "segment": [segment]})
+        if "chunk" not in pdf:
+            return out
+        of_longer = probe(bloom, keys, level - 1)[back]
+        answers, at = [], 0
+        for k, blob in zip(kind, pdf["keys"], strict=True):
+            if k % 3:
+                n = int(np.frombuffer(blob, np.uint32, 1)[0])
+                answers.append(of_longer[at : at + n].tobytes())
+                at += n
+            else:
+                answers.append(probe(bloom, np.frombuffer(blob, np.uint64), level - 1).tobytes())
+        asked = pd.DataFrame({"chunk": pdf["chunk"], "kind": kind, "bucket": bucket, "levels": answers, "hashes": b"", "counts": b"", "n": 0, "v": 0, "segment": b""})
+        return pd.concat([out, asked], ignore_index=True)
+
+
+def probe(bloom: SegmentedBloom, keys: np.ndarray, most: int = 63) -> np.ndarray:
+    """Levels of n-grams, by probing one after another up to the largest one stored."""
     keys = keys >> np.uint64(24) << np.uint64(24)
-    found = np.zeros(len(keys), np.int64)
+    found = np.zeros(len(keys), np.uint8)
     alive, level = np.arange(len(keys)), 1
-    while len(alive) and level < 64:
+    while len(alive) and level <= most:
         alive = alive[bloom.contains(leveled(keys[alive], level))]
         found[alive] = level
         level += 1
-    # a level stands for counts 2**(l-1) .. 2**l - 1
-    return np.where(found > 1, 1.4 * 2.0 ** (found - 1), found * 1.0)
+    return found
+
+
+def quantised(found: np.ndarray) -> np.ndarray:
+    """A level stands for counts 2**(l-1) .. 2**l - 1."""
+    return np.where(found > 1, 1.4 * 2.0 ** (found.astype(np.float64) - 1), found * 1.0)
+
+
+def lookup(bloom: SegmentedBloom, keys: np.ndarray, most: int = 63) -> np.ndarray:
+    """Quantised counts by probing level after level."""
+    return quantised(probe(bloom, keys, most))
 
 
 class Score:
+    """The texts of a chunk with the answers to its n-grams."""
+
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
 
     def __init__(self, shared, n: int, v: int):
-        self.shared, self.n, self.v = shared, n, v
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, top, top_counts = self.shared.value
-        task = TaskContext.get()
-        row = (task.partitionId() if task else 0) << 36
-        mass = self.n + 0.1 * (self.v + 1)
-        top_logs = np.log10((top_counts + 0.1) / mass)
-        for batch in batches:
-            for first, h, bounds in tokens(batch.column(2), limit=512 << 10):
-                count = len(bounds) - 1
-                distinct, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
-                hit = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
-                logs = np.where(hit, top_logs[at], 0.0) if len(top) else np.zeros(len(distinct))
-                counts = lookup(bloom, distinct)
-                p = ((counts + 0.1) / mass)[back]
-                prior = counts[back]
-                for n in range(2, ORDERS + 1):
-                    keys, last = grams(h, bounds, n)
-                    found = lookup(bloom, keys)
-                    history = np.maximum(prior[last - 1], found)
-                    p[last] = (found + STRENGTH[n] * p[last]) / (history + STRENGTH[n])
-                    prior = np.zeros(len(h))
-                    prior[last] = found
-                cut = bounds[:-1]
-                sums = lambda x: np.add.reduceat(x, cut)
-                rare = ~hit[back]
-                held = h[rare].view(np.int64)
-                edges = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64)))]).astype(np.int32)
-                part = batch.slice(first, count)
-                cols = [pa.array(row + np.arange(count)), part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(sums((hit & True)[back].astype(np.int64))), pa.array(sums(logs[back])), pa.array(sums(np.log10(p))), pa.ListArray.from_arrays(pa.array(edges), pa.array(held))]
-                row += count
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, top_words: int = TOP_WORDS) -> DataFrame:
+        self.shared, self.mass = shared, n + 0.1 * (v + 1)
+
+    def __call__(self, packed: pa.Table, answers: pa.Table) -> pa.Table:
+        given = answers.select(["kind", "bucket", "levels"]).to_pandas().sort_values(["kind", "bucket"])
+        of_kind = {k: np.frombuffer(b"".join(x["levels"]), np.uint8) for k, x in given.groupby("kind")}
+        chunk = packed["chunk"][0].as_py()
+        ids, held, texts = (packed[c][0].values for c in ("ids", "held", "texts"))
+        out = []
+        for side, at in enumerate(sides(held)):
+            if len(at):
+                own = texts.take(pa.array(at))
+                model = [(k, quantised(of_kind[3 * side + n])) for n, (k, _) in enumerate(distinct_grams(own))]
+                out += self._scored(own, model, chunk + at, ids.take(pa.array(at)), held.take(pa.array(at)))
+        return pa.Table.from_batches(out)
+
+    def _scored(self, texts: pa.Array, model: list, rows: np.ndarray, ids: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
+        top, top_counts = self.shared.value
+        top_logs = np.log10((top_counts + 0.1) / self.mass)
+        for first, h, bounds in tokens(texts):
+            count = len(bounds) - 1
+            distinct, back = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
+            hit = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
+            logs = np.where(hit, top_logs[at], 0.0) if len(top) else np.zeros(len(distinct))
+            counts = model[0][1][np.searchsorted(model[0][0], distinct)]
+            p = ((counts + 0.1) / self.mass)[back]
+            prior = counts[back]
+            for n in range(2, ORDERS + 1):
+                keys, last = grams(h, bounds, n)
+                found = model[n - 1][1][np.searchsorted(model[n - 1][0], keys >> np.uint64(24))]
+                history = np.maximum(prior[last - 1], found)
+                p[last] = (found + STRENGTH[n] * p[last]) / (history + STRENGTH[n])
+                prior = np.zeros(len(h))
+                prior[last] = found
+            cut = bounds[:-1]
+            sums = lambda x: np.add.reduceat(x, cut)  # noqa: B023, E731
+            rare = ~hit[back]
+            held = h[rare].view(np.int64)
+            edges = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64)))]).astype(np.int32)
+            cols = [
+                pa.array(rows[first : first + count]), ids.slice(first, count), held_out.slice(first, count), pa.array(np.diff(bounds)), pa.array(sums((hit & True)[back].astype(np.int64))), pa.array(sums(logs[back])),
+                pa.array(sums(np.log10(p))), pa.ListArray.from_arrays(pa.array(edges), pa.array(held)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+
+
+def by_chunk(f):
+    """A callable object as the two-argument function that ``applyInArrow`` asks for."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            tidy()
+
+    return run
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_words: int = TOP_WORDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the id as text is divisible by 10 are held out of the counts (a null id counts as empty text).
@@ -217,23 +318,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 10 == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     buckets = buckets_for(docs)
-    # Bytes of text stand in for tokens when the filter is sized: about four bits a token.
-    octets = base.where("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = LEAST_BITS
-    while bits < octets and bits < max_bits:
-        bits *= 2
-    counts = base.where("not held_out").select("text").mapInArrow(by_batch(Counts(buckets)), Counts.schema)
-    reduced = materialise(counts.groupBy("bucket").applyInPandas(by_group(Segment(buckets, bits)), Segment.schema), "counts")
-    n, v = reduced.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    bloom = SegmentedBloom(bits, buckets, HASHES)
-    for r in reduced.select("bucket", "segment").toLocalIterator():  # the filter's own bits
-        bloom.place(r["bucket"], r["segment"])
-    vocabulary = reduced.select("hashes", "counts").mapInArrow(by_batch(_word_rows), "hash long, count long")
+    octets = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    while buckets * BUCKET_BYTES < octets and buckets < 1 << 16:
+        buckets *= 2
+    packed = materialise(base.mapInArrow(by_batch(Pack()), Pack.schema), "packed")
+    with small_batches(spark, CHUNK_ROWS):
+        counts = packed.select("chunk", "held", "texts").mapInArrow(by_batch(Counts(buckets)), Counts.schema)
+        reduced = materialise(counts.groupBy("bucket").applyInPandas(by_group(Segment(buckets)), Segment.schema).drop("segment"), "counts")
+    model = reduced.where("chunk < 0")
+    n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    vocabulary = model.select("hashes", "counts").mapInArrow(by_batch(_word_rows), "hash long, count long")
     top = vocabulary.orderBy(F.desc("count"), "hash").limit(top_words).toPandas()
     keys = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((bloom, keys[order], top["count"].to_numpy(np.int64)[order]))
-    scored = materialise(base.mapInArrow(by_batch(Score(shared, n, v)), Score.schema), "scored")
+    shared = spark.sparkContext.broadcast((keys[order], top["count"].to_numpy(np.int64)[order]))
+    answers = reduced.where("chunk >= 0").select("chunk", "kind", "bucket", "levels")
+    with small_batches(spark, CHUNK_ROWS):
+        scored = materialise(packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(by_chunk(Score(shared, n, v)), Score.schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("hash")).join(vocabulary, "hash", "left")
     mass = n + 0.1 * (v + 1)
     c = F.coalesce(F.col("count"), F.lit(0))

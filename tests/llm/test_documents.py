@@ -183,6 +183,62 @@ def test_filter_holds_levels():
     assert (lm_bloom.lookup(bloom, keys + np.uint64(1 << 30)) == 0).mean() > 0.95
 
 
+def _lm_exact_scores(rows, least):
+    """Scores from exact counts, quantised as the filter does; pairs and triples seen fewer than ``least`` times count as unseen."""
+    import math
+    from collections import Counter
+
+    toks = {i: [*t.split(), None] for i, t in rows}
+    c = Counter()
+    for i, t in toks.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update(tuple(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1))
+    total, kinds = (f([x for g, x in c.items() if len(g) == 1]) for f in (sum, len))
+
+    def q(*g):
+        level = c[g].bit_length() if len(g) == 1 or c[g] >= least else 0
+        return 1.4 * 2.0 ** (level - 1) if level > 1 else level
+
+    out = {}
+    for i, t in toks.items():
+        score = 0
+        for k in range(len(t)):
+            p = (q(t[k]) + 0.1) / (total + 0.1 * (kinds + 1))
+            for n in range(2, min(3, k + 1) + 1):
+                found = q(*t[k - n + 1 : k + 1])
+                p = (found + lm_bloom.STRENGTH[n] * p) / (max(q(*t[k - n + 1 : k]), found) + lm_bloom.STRENGTH[n])
+            score += math.log10(p)
+        out[i] = score / len(t)
+    return out
+
+
+def test_lm_scores_of_a_filled_filter(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    body = [fx.prose(rng, 200, vocabulary) for _ in range(700)]
+    rows = list(enumerate(body * 2))
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_bloom.lm_scores(fx.frame(spark, rows)).collect()}
+    want = _lm_exact_scores(rows, 2)
+    off = {held: np.mean([abs(got[i] - want[i]) for i in want if (zlib.crc32(str(i).encode()) % 10 == 0) == held]) for held in (True, False)}
+    assert max(off.values()) < 0.05, off
+
+
+def test_segment_follows_its_entries():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 62, 300_000, dtype=np.uint64))
+    counts = rng.integers(1, 40, len(keys))
+    absent = rng.integers(0, 1 << 62, 100_000, dtype=np.uint64)
+    pdf = pd.DataFrame({"chunk": [7, 8], "kind": [0, 3], "bucket": 0, "keys": [keys.tobytes(), absent.tobytes()], "counts": [counts.astype(np.uint32).tobytes(), b""]})
+    out = lm_bloom.Segment(4)(pdf)
+    own, other = (np.frombuffer(x, np.uint8) for x in out["levels"][1:])
+    assert out["chunk"].tolist() == [-1, 7, 8] and own.max() == lm_bloom.levels(counts).max()
+    assert (own == lm_bloom.levels(counts)).mean() > 0.97 and (other == 0).mean() > 0.97
+    full = lm_bloom.SegmentedBloom(64, 1, lm_bloom.HASHES, np.full(8, 255, np.uint8))
+    assert lm_bloom.probe(full, keys, 5).max() == 5
+
+
 def test_mixing_plan():
     t = np.array([9000, 500, 500, 0])
     m = mixing.plan(t, 0.9, None, 10_000)
