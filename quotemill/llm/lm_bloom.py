@@ -2,8 +2,7 @@
 
 Counts of words, pairs and triples are summed over all training texts.  An n-gram of count c enters the filter once
 for each level 1 .. floor(log2 c) + 1; a lookup probes level after level until one is missing, and the last level found
-stands for the count.  Probabilities are Dirichlet-smoothed from triples down to words.  Pairs and triples seen once
-are left out.
+stands for the count.  Probabilities are Dirichlet-smoothed from triples down to words.
 
 The filter's bits follow the number of its entries, without a ceiling, and it is never broadcast: it lies in segments, one for each
 range of hashes.  Texts are packed into chunks, the distinct n-grams of a chunk go to their segment, which answers with their levels, and
@@ -192,7 +191,7 @@ class Segment:
         seen = np.repeat(longer["kind"].to_numpy() < 3, [len(p[0]) for p in parts])
         counts = np.bincount(back, np.concatenate([np.zeros(0), *[p[1] for p in parts]]) * seen, len(keys)).astype(np.int64)
         keys <<= np.uint64(24)
-        sets.append((keys[counts > 1], counts[counts > 1]))
+        sets.append((keys[counts > 0], counts[counts > 0]))
         del parts
         found, level = [np.zeros(0, np.uint64)], 1
         left, high = np.concatenate([s[0] for s in sets]), levels(np.concatenate([s[1] for s in sets]))

@@ -183,8 +183,8 @@ def test_filter_holds_levels():
     assert (lm_bloom.lookup(bloom, keys + np.uint64(1 << 30)) == 0).mean() > 0.95
 
 
-def _lm_exact_scores(rows, least):
-    """Scores from exact counts, quantised as the filter does; pairs and triples seen fewer than ``least`` times count as unseen."""
+def _lm_exact_scores(rows):
+    """Scores from exact counts, quantised as the filter does."""
     import math
     from collections import Counter
 
@@ -196,7 +196,7 @@ def _lm_exact_scores(rows, least):
     total, kinds = (f([x for g, x in c.items() if len(g) == 1]) for f in (sum, len))
 
     def q(*g):
-        level = c[g].bit_length() if len(g) == 1 or c[g] >= least else 0
+        level = c[g].bit_length()
         return 1.4 * 2.0 ** (level - 1) if level > 1 else level
 
     out = {}
@@ -218,7 +218,7 @@ def test_lm_scores_of_a_filled_filter(spark):
     body = [fx.prose(rng, 200, vocabulary) for _ in range(700)]
     rows = list(enumerate(body * 2))
     got = {r.doc_id: r.score / r.n_tokens for r in lm_bloom.lm_scores(fx.frame(spark, rows)).collect()}
-    want = _lm_exact_scores(rows, 2)
+    want = _lm_exact_scores(rows)  # texts held out whose copy is not have pairs and triples seen once
     off = {held: np.mean([abs(got[i] - want[i]) for i in want if (zlib.crc32(str(i).encode()) % 10 == 0) == held]) for held in (True, False)}
     assert max(off.values()) < 0.05, off
 
