@@ -6,6 +6,10 @@ Digests are grouped over all documents; the occurrence first by (id, row, unit)
 to each other in a document form a run, and runs of at least ``MIN_WORDS`` words are removed, as ranges of characters
 of the original text.
 
+Repeats of at least ``PASSAGE_WORDS`` words across texts may also start and end within a unit.  Of every ``PASSAGE_WORDS`` words in a row the least digest of
+``ANCHOR_WORDS`` words is an anchor, so texts that share such a passage share an anchor of it.  Repeated anchors are extended word by word
+against the text that has them first, and what is found is merged with the runs.
+
 Counts are combined before the exchange, so a line that is everywhere costs a row per task there; the join of repeats is
 split by adaptive execution where one digest has many.
 """
@@ -20,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialise, mix64
-from .textkit import Words, words
+from .common import by_batch, materialise, mix64, small_batches
+from .textkit import Words, ngram_hashes, words
 
 MIN_WORDS = 30
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 20
+PAIR_ROWS = 100
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x21, 0x2E, 0x3F]] = True
 _MULTIPLIERS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -61,10 +67,21 @@ def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc, first, size, number
 
 
+def anchors(w: Words) -> np.ndarray:
+    """First words of the anchors."""
+    g = ngram_hashes(w.hashes, ANCHOR_WORDS)
+    width = PASSAGE_WORDS - ANCHOR_WORDS + 1
+    if len(g) < width:
+        return np.zeros(0, np.int64)
+    doc = w.docs()
+    at = np.flatnonzero(doc[: len(g) - width + 1] == doc[PASSAGE_WORDS - 1 :])
+    return np.unique(at + np.lib.stride_tricks.sliding_window_view(g, width)[at].argmin(1)) if len(at) else at
+
+
 class Units:
-    """Every unit with its digest and its range of characters."""
+    """Every unit with its digest, its first word and its range of characters; anchors likewise as unit -1."""
 
-    schema = "doc_id long, text_key long, row long, unit int, d1 long, d2 long, words int, start int, end int"
+    schema = "doc_id long, text_key long, row long, unit int, d1 long, d2 long, words int, word int, start int, end int"
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -77,6 +94,9 @@ class Units:
 
     def _batch(self, batch: pa.RecordBatch, w: Words, row: int) -> pa.RecordBatch:
         doc, first, size, number = units(w)
+        also = anchors(w)
+        doc, first = np.append(doc, w.docs()[also]), np.append(first, also)
+        size, number = np.append(size, np.full(len(also), ANCHOR_WORDS)), np.append(number, np.full(len(also), -1))
         chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
         offsets = batch.column(2).slice(w.first, w.count)
         lengths = pa.compute.coalesce(pa.compute.binary_length(offsets), 0).to_numpy(zero_copy_only=False)
@@ -84,31 +104,99 @@ class Units:
         d1, d2 = (_digests(w.hashes, first, size, m).view(np.int64) for m in _MULTIPLIERS)
         at = pa.array(w.first + doc)
         cols = [
-            batch.column(0).take(at), batch.column(1).take(at), pa.array(row + doc), pa.array(number, pa.int32()), pa.array(d1), pa.array(d2), pa.array(size, pa.int32()),
+            batch.column(0).take(at), batch.column(1).take(at), pa.array(row + doc), pa.array(number, pa.int32()), pa.array(d1), pa.array(d2), pa.array(size, pa.int32()), pa.array(first - w.bounds[doc], pa.int32()),
             pa.array(chars[w.starts[first]] - base, pa.int32()), pa.array(chars[w.ends[first + size - 1]] - base, pa.int32()),
         ]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in self.schema.split(", ")])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per removed span: doc_id, start, end (characters of the original text), n_units, n_words, keep_doc_id, text_key.
+class Passages:
+    """Extends the anchors that two texts share to all words around that they share."""
 
-    ``keep_doc_id`` is the document that keeps the span's first unit.  Null and blank texts have no units.  A null id sorts after all
-    others.  Repeated rows are documents of their own: the first read keeps its passages.  Other columns are not looked at.
-    """
+    schema = "text_key long, keep long, word int, to int, start int, end int"
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                key, keep, seeds, text, other = (c[i] for c in batch.columns)
+                own, far = (next(words(pa.array([x.as_py()]), limit=1 << 40)) for x in (text, other))
+                chars = np.append(0, np.cumsum((own.data & 0xC0) != 0x80))
+                rows += [(key.as_py(), keep.as_py(), f, t, int(chars[own.starts[f]]), int(chars[own.ends[t - 1]])) for f, t in self.shared(own.hashes, far.hashes, seeds.as_py())]
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in self.schema.split(", ")])
+
+    @staticmethod
+    def shared(x: np.ndarray, y: np.ndarray, seeds: list[dict]) -> Iterator[tuple[int, int]]:
+        done: dict[int, int] = {}
+        for a, b in sorted((s["word"], s["other"]) for s in seeds):
+            if a < done.get(a - b, 0):
+                continue
+            n = min(len(x) - a, len(y) - b)
+            off = np.flatnonzero(x[a : a + n] != y[b : b + n])
+            to = a + (int(off[0]) if len(off) else n)
+            n = min(a, b)
+            off = np.flatnonzero(x[a - n : a] != y[b - n : b])
+            begin = a - n + (int(off[-1]) + 1 if len(off) else 0)
+            done[a - b] = to
+            if to - begin >= PASSAGE_WORDS:
+                yield begin, to
+
+
+def _passages(base: DataFrame, found: DataFrame) -> DataFrame:
+    """Repeated passages of every row by their words, found from anchors."""
+    order = F.struct("doc_id", "row", "word", "text_key")
+    groups = found.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    again = found.join(groups, ["d1", "d2"]).where("text_key <> first.text_key")
+    again = materialise(again.select("doc_id", "text_key", "row", "word", "first"), "anchors")
+    seeds = F.collect_set(F.struct("word", F.col("first.word").alias("other"))).alias("seeds")
+    pairs = again.groupBy("text_key", F.col("first.text_key").alias("other_key")).agg(F.min("first.doc_id").alias("keep"), seeds)
+    wanted = again.select(F.explode(F.array("text_key", "first.text_key")).alias("text_key")).distinct()
+    texts = materialise(base.select("text_key", "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    others = texts.select(F.col("text_key").alias("other_key"), F.col("text").alias("other"))
+    both = pairs.join(texts, "text_key").join(others, "other_key").select("text_key", "keep", "seeds", "text", "other")
+    with small_batches(base.sparkSession, PAIR_ROWS):
+        passages = materialise(both.mapInArrow(by_batch(Passages()), Passages.schema), "passages")
+    return again.select("doc_id", "text_key", "row").distinct().join(passages, "text_key")
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """The spans, and all units."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    all_units = materialise(base.mapInArrow(by_batch(Units()), Units.schema), "units")
+    table = materialise(base.mapInArrow(by_batch(Units()), Units.schema), "units")
+    all_units = table.where("unit >= 0")
     first = F.min(F.struct("doc_id", "row", "unit")).alias("first")
     groups = all_units.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     found = all_units.join(groups, ["d1", "d2"])
     again = found.where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
     again = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit")))
     runs = again.groupBy("doc_id", "text_key", "row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "first.doc_id")).alias("kept")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "first.doc_id")).alias("kept"), F.min("word").alias("word")
     )
     runs = runs.where(F.col("n_words") >= min_words)
+    keys = ["doc_id", "text_key", "row"]
+    runs = runs.select(*keys, "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", "n_units", F.col("kept.doc_id").alias("keep"))
+    more = _passages(base, table.where("unit < 0")).select(*keys, "word", F.col("to").cast("long").alias("to"), "start", "end", F.lit(0).cast("long").alias("n_units"), "keep")
+    # spans that touch become one
+    of_row = Window.partitionBy("row").orderBy("word", "to", "n_units", "keep")
+    apart = (F.col("word") > F.coalesce(F.max("to").over(of_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    merged = runs.unionByName(more).withColumn("apart", apart).withColumn("part", F.sum("apart").over(of_row))
+    spans = merged.groupBy(*keys, "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"), (F.max("to") - F.min("word")).alias("n_words"), F.min(F.struct("word", "keep")).alias("kept")
+    )
     real = lambda c: F.when(c != NULL_ID, c)
-    return runs.select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_units", "n_words", real(F.col("kept.doc_id")).alias("keep_doc_id"), "text_key", "row")
+    return spans.select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_units", "n_words", real(F.col("kept.keep")).alias("keep_doc_id"), "text_key", "row"), all_units
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per removed span: doc_id, start, end (characters of the original text), n_units, n_words, keep_doc_id, text_key.
+
+    ``n_units`` counts whole repeated units.  ``keep_doc_id`` is the document that keeps the span's first words.  Null and blank texts
+    have no units.  A null id sorts after all others.  Repeated rows are documents of their own: the first read keeps its passages.
+    Other columns are not looked at.
+    """
+    return _spans(docs, id_col, text_col, min_words)[0]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

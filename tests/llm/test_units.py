@@ -70,3 +70,21 @@ def test_repeated_rows_and_nothing(spark):
     assert sum(r.n_units for r in got) == 7 + 9 + 8 and {r.keep_doc_id for r in got} == {1}
     assert unit_dedup.repeated_spans(fx.frame(spark, [])).count() == 0
     assert unit_dedup.remove_repeats(fx.frame(spark, [])).count() == 0
+
+
+def test_passages_within_sentences(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    free = lambda n: fx.prose(rng, n, words)
+    rows, want = [], {}
+    for i in range(0, 120, 2):
+        n = rng.randrange(50, 90)
+        passage = free(n)
+        passage = passage.replace(" ", "  ", 3) if i % 3 else passage[:150] + ". " + passage[150:]
+        head, tail = (f"{free(rng.randrange(0, 40))} h{i + k} " for k in range(2)), (f" t{i + k} {free(rng.randrange(0, 40))}" for k in range(2))
+        (h, t), (h2, t2) = zip(head, tail, strict=True)
+        rows += [(i, h + passage + t), (i + 1, h2 + passage.upper() + t2)]
+        want[i + 1] = (len(h2), len(h2) + len(passage), len(fx.split(passage)), i)
+    rows += [(200 + k, f"{free(30)} a{k} {rows[0][1].split(' ', 1)[1][:60]} b{k}") for k in range(3)]  # too short
+    got = {r.doc_id: (r.start, r.end, r.n_words, r.keep_doc_id) for r in unit_dedup.repeated_spans(fx.frame(spark, rows)).collect()}
+    assert got == want
