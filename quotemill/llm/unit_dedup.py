@@ -204,8 +204,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows alike in id and text, the one that keeps its passages cannot be told from the others, so all keep what the first does.
     """
-    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy("doc_id", "text_key", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("removed").alias("removed"))
+    found, all_units = _spans(docs, id_col, text_col, min_words)
+    first = all_units.groupBy(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("_id"), F.col("text_key").alias("_key")).agg(F.min("row").alias("row"))
+    spans = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    spans = first.join(spans, "row").drop("row")
     names = [c for c in docs.columns if c != "removed"]
     keyed = docs.select(*names).withColumn("_k", F.xxhash64(F.col(text_col)))
     out = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")

@@ -88,3 +88,13 @@ def test_passages_within_sentences(spark):
     rows += [(200 + k, f"{free(30)} a{k} {rows[0][1].split(' ', 1)[1][:60]} b{k}") for k in range(3)]  # too short
     got = {r.doc_id: (r.start, r.end, r.n_words, r.keep_doc_id) for r in unit_dedup.repeated_spans(fx.frame(spark, rows)).collect()}
     assert got == want
+
+
+def test_repeated_rows_keep_what_the_first_does(spark):
+    rng = random.Random(5)
+    plain, other = sentences(rng, 8), sentences(rng, 9)
+    inner = sentences(rng, 7)
+    rows = [(1, plain), (1, plain), (2, inner + " Between. " + inner), (2, inner + " Between. " + inner), (None, other), (None, other), (3, plain)]
+    clean = [(r.doc_id, r.text) for r in unit_dedup.remove_repeats(fx.frame(spark, rows)).collect()]
+    assert len(fx.split(plain)) >= 30 and len(fx.split(inner)) >= 30
+    assert sorted(clean, key=str) == sorted([(1, plain)] * 2 + [(2, inner + " Between. ")] * 2 + [(None, other)] * 2 + [(3, "")], key=str)
