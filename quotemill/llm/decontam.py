@@ -29,7 +29,7 @@ from .textkit import Words, words
 
 PIECE, WINDOW, STEP = 64, 64, 16
 RANK, OVERSAMPLE = 160, 16
-COSINE, SLACK = 0.7, 0.9
+COSINE = 0.7
 COVER, PARAPHRASE = 0.8, 0.6
 ANSWER_SHARE, ANSWER_LEAST = 0.25, 4
 #: Pieces and distinct words of a block at most, so the broadcast stays below 24 MB.
@@ -206,8 +206,8 @@ class Search:
         goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
         # A piece is looked for in windows of as many steps as it may touch, so little else is in them.
         reach = (np.diff(block.cuts) + 2 * STEP - 2) // STEP
-        # A piece that fills little of its worst placed window cannot reach the usual cosine there.
-        least = np.minimum(COSINE, SLACK * np.sqrt(np.diff(block.cuts) / (reach * STEP))).astype(np.float32)
+        # Of words of like weight, the share that the verdict asks for gives this cosine in a worst placed window full of other such words.
+        least = np.minimum(COSINE, PARAPHRASE * np.sqrt(np.diff(block.cuts) / (reach * STEP))).astype(np.float32)
         classes = [(int(g), np.flatnonzero(reach == g), np.ascontiguousarray(goal[reach == g].T)) for g in np.unique(reach)]
         members = np.zeros((len(block.words), len(block.vocabulary)), bool)
         members[np.repeat(np.arange(len(block.words)), np.diff(block.cuts)), block.flat] = True

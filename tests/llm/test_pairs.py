@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quotemill.llm import common, decontam, graph, ngram_join
+from quotemill.llm import common, decontam, graph, ngram_join, textkit
 
 from . import fixtures as fx
 
@@ -114,6 +114,44 @@ def test_leaks(spark):
     assert decontam.find_leaks(fx.frame(spark, rows), items.limit(0)).count() == 0
 
 
+def _judged(docs, bench):
+    """(document, item) by the verdict on every stretch of every document, without candidates."""
+    import pandas as pd
+    import pyarrow as pa
+
+    hashes = lambda t: np.concatenate([np.zeros(0, np.uint64), *[w.hashes for w in textkit.words(pa.array([t or ""]))]])
+    found = set()
+    cut = decontam.pieces(pd.DataFrame(bench, columns=["item_id", "text"]))
+    for doc, text in docs:
+        h = hashes(text)
+        for item, _, piece in cut:
+            for start in range(0, len(h), decontam.STEP):
+                size = len(piece)
+                reach = (size + 2 * decontam.STEP - 2) // decontam.STEP * decontam.STEP
+                cover, answer = decontam.judge(piece, h[max(0, start - size) : start + reach + size])
+                if cover >= decontam.COVER or (cover >= decontam.PARAPHRASE and answer):
+                    found.add((doc, item))
+                    break
+    return found
+
+
+def test_leaks_among_other_benchmark_words(spark):
+    """No leak that the verdict accepts is lost before it, edited ones among words of other items included."""
+    rng = random.Random(8)
+    pool = [f"q{k}" for k in range(400)]
+    bench = [(i, fx.prose(rng, rng.choice([12, 20, 33, 50]), pool)) for i in range(40)]
+    docs = []
+    for i in range(160):
+        words = bench[i % 40][1].split()
+        for k in rng.sample(range(len(words) - len(words) // 4 - 1), int((i // 40) * 0.1 * len(words))):
+            words[k] = rng.choice(pool)
+        docs.append((i, f"{fx.prose(rng, rng.randrange(20, 60), pool)} {' '.join(words)} {fx.prose(rng, rng.randrange(20, 60), pool)}"))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(fx.frame(spark, docs), items).collect()}
+    want = _judged(docs, bench)
+    assert len(want) >= 150 and not want - got, (len(want), len(want - got))
+
+
 def test_answer_check():
     piece = np.arange(20)
     assert decontam.judge(piece, np.concatenate([piece[:8], piece[14:]])) == (14 / 20, True)
