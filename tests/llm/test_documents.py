@@ -127,18 +127,58 @@ def test_language(spark):
     assert len(held) > 50 and np.mean(held) > 0.95
     assert [got[i].lang_pred for i in (1000, 1001, 1003)] == ["und"] * 3 and got[1000].score == 0 and got[None].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values())
-    kept = langid.keep_determined(fx.frame(spark, rows))
-    assert kept.columns == fx.frame(spark, rows).columns and kept.count() == 401
+    odd = rows + rows[:3] + [(None, "", None), (None, "karkar tolmin sahsah minkar", None)]
+    kept = langid.keep_placed(fx.frame(spark, odd))
+    assert kept.columns == fx.frame(spark, odd).columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert {1000, 1001, 1003}.isdisjoint(i for i, _ in left) and len(left) >= 0.99 * (len(odd) - 4)
+    assert langid.keep_placed(fx.frame(spark, odd), placed=2.0).count() == 0
+    assert sum(i in {r[0] for r in rows[:3]} for i, _ in left) == 6 and (None, "karkar tolmin sahsah minkar") in left
+    # without any label that could be learned, all texts with a letter stay
+    bare = [(i, t, None) for i, t, *_ in odd]
+    assert langid.keep_placed(fx.frame(spark, bare)).count() == sum(any(c.isalpha() for c in t or "") for _, t, _ in bare)
+    assert langid.keep_placed(fx.frame(spark, [])).count() == 0
     nothing = langid.predict_language(fx.frame(spark, [(1, "text", None)])).collect()
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
     assert langid.predict_language(fx.frame(spark, [])).count() == 0
 
 
-def test_kernel_is_symmetric_and_bounded():
-    texts = [t for _, t, _ in _languages(30, 3)]
-    m = langid.fit(texts, ["a", "b", "c"] * 10, landmarks=30)
-    k = m.kernel(*langid._flat([t.encode() for t in texts]))
-    assert k.max() <= 1.0001 and k.min() >= 0 and np.isclose(k.max(1), 1, atol=1e-5).all()
+def _folded(text):
+    import re
+
+    return re.sub(rb"[^a-z\x80-\xff]+", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+
+
+def _gram_set(text):
+    x = _folded(text)
+    return {x[i : i + n] for n in langid.LENGTHS for i in range(len(x) - n + 1)}
+
+
+def test_kernel_equals_brute_force(monkeypatch):
+    texts = [t for _, t, _ in _languages(30, 3)] + ["A b", "é!"]
+    m = langid.fit(texts, ["a", "b", "c"] * 10 + ["a", "c"], landmarks=200)
+    cut = langid._flat([t.encode() for t in texts])
+    k = m.kernel(*cut)
+    sets = [_gram_set(t) for t in texts]
+    order = [i for y in "abc" for i in np.flatnonzero(np.array(["a", "b", "c"] * 10 + ["a", "c"]) == y)]
+    want = np.array([[len(x & sets[z]) / np.sqrt(len(x) * len(sets[z])) for z in order] for x in sets])
+    # landmarks come in random order within a label; n-grams share slots now and then
+    assert np.allclose(np.sort(k, 1), np.sort(want, 1), atol=0.03) and k.min() >= 0 and k.max() <= 1.0001
+    monkeypatch.setattr(langid, "SLICE", 7)
+    assert np.allclose(m.kernel(*cut), k) and all(len(langid.gram_set(np.frombuffer(t.encode(), np.uint8))) >= 0.98 * len(s) for t, s in zip(texts, sets, strict=True))
+    dense = np.arange(langid.SLOTS, dtype=np.int32)[::2]
+    assert (langid._unpacked(langid._packed(dense)) == dense).all() and len(langid._packed(dense)) == langid.SET_BYTES
+    assert (langid._unpacked(langid._packed(dense[:9])) == dense[:9]).all()
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 3)
+    with pytest.raises(ValueError):
+        langid.predict_language(fx.frame(spark, [(i, "some text", f"l{i}") for i in range(40)]))
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 6)
+    base = fx.frame(spark, [(i, f"text {i}", "en" if i % 2 else "de") for i in range(400)] + [(7, "text 7", "en")] * 200).withColumn("held_out", langid.F.lit(False))
+    got = langid.training_sample(base, 400)
+    assert sum(part == 0 for _, part, _ in got) == 6 and {y for y, _, _ in got} == {"en", "de"}
 
 
 def _lm_reference(rows):
