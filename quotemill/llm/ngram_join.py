@@ -34,7 +34,8 @@ from .textkit import ngram_hashes, words
 RARE_BITS, OFTEN_BITS = 1 << 26, 1 << 22
 OFTEN = 16
 PAIRS_PER_ROW = 16
-BLOCK_TOKENS = 200_000
+#: A block holds about so many tokens and sets, so a task that compares two of them has a bound whatever the sets' sizes.
+BLOCK_TOKENS, BLOCK_SETS = 200_000, 1500
 FLUSH_TOKENS = 1 << 20
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -245,7 +246,7 @@ class BlockLinks:
         both = np.zeros((len(ia), len(ib)), np.float32)
         ta, tb = np.full(len(sets), -1), np.full(len(sets), -1)
         ta[ia], tb[ib] = np.arange(len(ia)), np.arange(len(ib))
-        step = 4096
+        step = 2048
         for lo in range(0, int(back[-1]) + 1, step):
             i, j = np.searchsorted(back, [lo, lo + step])
             r, c = row[i:j], back[i:j] - lo
@@ -329,6 +330,7 @@ class _Join:
     def stars(self) -> DataFrame:
         g = self.nodes.select("node", "n", "own", F.explode("a").alias("token"))
         lead = g.groupBy("token").agg(F.min(F.struct("own", (-F.col("n")).alias("m"), "node")).alias("lead"), F.count("*").alias("k")).where("k > 1")
+        lead = materialise(lead.select("token", "lead"), "leads")  # so that a token of very many sets can be split
         pairs = g.join(lead, "token").select("node", "n", F.col("lead.node").alias("l"), (-F.col("lead.m")).alias("ln"))
         pairs = pairs.where((F.col("node") != F.col("l")) & self.fits("n", "ln"))
         return self.filtered(pairs.select(F.greatest("node", "l").alias("u"), F.least("node", "l").alias("v")).distinct())
@@ -354,7 +356,7 @@ class _Join:
         own = heavy.select("node", "n", "component").distinct().join(area.select("node", F.col("component").alias("area")), "node")
         # Sizes in steps of 1/t: only sets of the same or the next step can link.
         own = materialise(own.withColumn("step", F.floor(F.log(F.col("n")) / float(np.log(100 / self.percent)) + 1e-9).cast("int")), "areas")
-        blocks = own.groupBy("area", "step").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+        blocks = own.groupBy("area", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
         near = lambda d, k: blocks.select("area", (F.col("step") + d).alias("step"), F.col("blocks").alias(k))
         own = own.join(blocks, ["area", "step"]).join(near(-1, "above"), ["area", "step"], "left").join(near(1, "below"), ["area", "step"], "left")
         own = own.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -10,7 +10,8 @@ from quotemill.llm import common, decontam, graph, ngram_join, textkit
 from . import fixtures as fx
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [None, 0])
+def test_components(spark, task_edges):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     root = {}
@@ -23,9 +24,9 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "u long, v long"), task_edges).count() == 0
 
 
 def test_bloom_has_no_false_negatives():
@@ -55,6 +56,8 @@ def test_join(spark, monkeypatch, often, per_row, n, percent):
     """With ``per_row`` 0 every group that the stars leave apart goes through blocks."""
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", per_row)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4 if often == 1 else 1000)
+    monkeypatch.setattr(graph, "TASK_EDGES", 0 if often == 2 else 1000)
     rows = fx.families() + [r[:2] for r in fx.edge_rows() if r[0] not in (0, 1, 2, 3, 4, 5, 6, 7, 9, 10)]
     rows += [(1000 + (r[0] or 0), r[1]) for r in fx.edge_rows() if r[0] is not None]
     got = ngram_join.ngram_join(fx.frame(spark, rows), words_per_gram=n, percent=percent, rare_bits=1 << 16, often_bits=1 << 12, often=often).collect()
