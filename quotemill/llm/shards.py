@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 KEY_BITS = 60
 #: Directories up to this many cells are broadcast: 1 Mi rows of 24 bytes.
 BROADCAST_CELLS = 1 << 20
@@ -51,13 +53,14 @@ def extendible_shards(
     A row counts ``row_bytes`` plus its text's UTF-8 bytes (a null text: none).  Shards hold at most ``limit_bytes``; a
     row that alone exceeds the limit gets a shard of its own, at the depth where it parts from all others or at
     ``max_bits``.  Rows of one key go together unless they exceed the limit, then they are told apart by text and by
-    row.  An empty table gives no rows.  Columns called like the new ones are replaced.
+    row.  Null ids are one key.  Texts are hashed and measured, never split, so their length costs nothing else.  An empty table gives no
+    rows.  Columns called like the new ones are replaced.
     """
     names = [c for c in docs.columns if c not in ("shard", "shard_depth", "shard_bytes")]
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + row_bytes
     h = key_hash(F.col(key_col))
     total = docs.select(F.sum(size)).first()[0] or 0
-    bits = min(KEY_BITS, max(0, (max(1, -(-total // limit_bytes)) - 1).bit_length()) + 6)
+    bits = min(KEY_BITS, max(0, (max(1, -(-total // limit_bytes)) - 1).bit_length()) + 4)
     step = bits
     cell = F.shiftrightunsigned(h, KEY_BITS - bits) if bits else F.lit(0).cast("long")
     rows = docs.select(cell.alias("cell"), size.alias("bytes")).groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
@@ -66,8 +69,9 @@ def extendible_shards(
     directory = directory.select("cell", F.expr("right(code, depth)").alias("shard"), F.col("depth").alias("shard_depth"), "shard_bytes")
     over = rest.count()
     tagged = docs.select(*[F.col(c) for c in names], cell.alias("_cell"))
+    cells = 1 << bits
     if not over:
-        return _attach(tagged, directory, names, len_hint=1 << bits if bits <= 20 else None)
+        return _attach(tagged, directory, names, cells)
     # Refine the cells that are still too large by longer codes: key bits, then text bits, then bits of the row itself.
     code = F.concat(
         F.lpad(F.conv(h.cast("string"), 10, 2), KEY_BITS, "0"),
@@ -78,10 +82,8 @@ def extendible_shards(
     deep = docs.select(*[F.col(c) for c in names], cell.alias("_cell"), code.alias("_code"), size.alias("_size"))
     far = deep.join(_sized(big, over), F.col("_cell") == F.col("cell"), "left_semi")
     shallow = tagged.join(_sized(big, over), F.col("_cell") == F.col("cell"), "left_anti")
-    parts = [_attach(shallow, directory, names)]
+    parts = [_attach(shallow, directory, names, cells)]
     depth = bits
-    from .common import materialise
-
     far = materialise(far, "deep")
     while True:
         depth = min(max_bits, depth + cell_step)
@@ -113,7 +115,8 @@ def _sized(cells: DataFrame, n: int) -> DataFrame:
     return F.broadcast(cells) if n <= BROADCAST_CELLS else cells
 
 
-def _attach(tagged: DataFrame, directory: DataFrame, names: list[str], len_hint: int | None = None) -> DataFrame:
-    side = F.broadcast(directory) if len_hint and len_hint <= BROADCAST_CELLS else directory
+def _attach(tagged: DataFrame, directory: DataFrame, names: list[str], cells: int) -> DataFrame:
+    """``directory`` has at most ``cells`` rows."""
+    side = _sized(directory, cells)
     out = tagged.join(side, F.col("_cell") == F.col("cell"))
     return out.select(*names, "shard", F.col("shard_depth").cast("int").alias("shard_depth"), "shard_bytes")

@@ -279,15 +279,44 @@ def test_segment_follows_its_entries():
     assert lm_bloom.probe(full, keys, 5).max() == 5
 
 
+def _entropy(w):
+    w = w[w > 0]
+    return -(w * np.log(w)).sum()
+
+
 def test_mixing_plan():
-    t = np.array([9000, 500, 500, 0])
-    m = mixing.plan(t, 0.9, None, 10_000)
-    assert abs(mixing.entropy(m.weight) - 0.9 * np.log(3)) < 1e-9 and m.weight[3] == 0 and m.budget.sum() <= 10_000
-    m = mixing.plan(t, 0.99, 2.0, 10_000)
-    assert (m.weight[:3] * 10_000 <= 2 * t[:3] * 1.0001).all()
-    m = mixing.plan(t, 0.9, 4.0, None)
-    assert (m.budget >= t).all() and (m.budget[:3] <= 4.001 * t[:3]).all()
-    assert mixing.plan(np.array([0, 0]), 0.5, 1.0, 10).budget.tolist() == [0, 0]
+    t = np.array([9000, 500, 400, 0])
+    of = lambda budget=10_000, limit=None, **k: mixing.plan(mixing.Shares.of(t), repeat_limit=limit, budget=budget, **({"entropy_gap": None} | k))
+    w = lambda m: m.weight(t, 9000)
+    m = of(entropy_share=0.9)
+    assert abs(_entropy(w(m)) - 0.9 * np.log(3)) < 1e-9 and w(m)[3] == 0 and abs(w(m).sum() - 1) < 1e-12 and m.met and 0 < m.exponent < 1
+    natural = _entropy(t / t.sum())
+    m = of(entropy_gap=0.5)
+    assert abs(_entropy(w(m)) - (natural + np.log(3)) / 2) < 1e-9 and 0 < m.exponent < 1
+    m = of(entropy_share=0.1)
+    assert abs(_entropy(w(m)) - 0.1 * np.log(3)) < 1e-9 and m.exponent > 1 and m.met
+    m = of(entropy_share=0.99, limit=2.0)
+    assert (w(m)[:3] * 10_000 <= 2 * t[:3] * 1.0001).all() and (w(m)[:3] * 10_000 / t[:3]).max() > 1.999 and not m.met
+    m = of(entropy_share=0.1, limit=1.05)
+    assert (w(m)[:3] * 10_000 / t[:3]).max() <= 1.0501 and m.exponent > 1 and not m.met
+    m = of(None, 4.0, entropy_share=0.9)
+    budget = np.floor(w(m) * m.total * (1 + 1e-9))
+    assert (budget >= t).all() and (budget[:3] <= 4.001 * t[:3]).all()
+    assert of(100_000, 2.0, entropy_share=0.9).exponent == 1.0  # ten passes over everything: no weights keep the limit
+    alike = mixing.plan(mixing.Shares.of(np.array([5, 5, 5])), None, 0.5, None, 10)
+    assert alike.exponent == 1.0 and not alike.met
+    assert mixing.plan(mixing.Shares.of(np.array([0, 0])), 0.5, None, 1.0, 10).met
+    with pytest.raises(ValueError):
+        of(entropy_share=1.5)
+
+
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, fx.prose(rng, rng.randrange(1, 9)), "en", f"s{rng.randrange(1, 30) ** 2 // 30}") for i in range(300)]
+    want = {r.doc_id: (r.copies, round(r.source_weight, 9)) for r in mixing.mix_sources(fx.frame(spark, rows), columns=["doc_id"]).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert {r.doc_id: (r.copies, round(r.source_weight, 9)) for r in mixing.mix_sources(fx.frame(spark, rows)).collect()} == want
+    assert len({c for c, _ in want.values()}) > 1
 
 
 @pytest.mark.parametrize("share", [1.0, 0.4, None])
@@ -308,6 +337,12 @@ def test_mixing(spark, share):
         assert read[k] <= r.source_budget and (r.source_budget - read[k] < 2 * max(most[k], 1) or not r.source_tokens)
     if share is None:
         assert all(r.copies >= 1 for r in out)
+    elif share == 1.0:
+        assert len({r.copies for r in out if r.n_tokens}) > 1 and all(r.target_met for r in out)
+    # of a part of a pass: whole blocks in their order, and of the last one rows in theirs
+    for src in {r.source for r in out if r.source_tokens}:
+        own = sorted((r.mix_block_key, r.mix_row_key, r.copies) for r in out if r.source == src)
+        assert [c for *_, c in own] == sorted((c for *_, c in own), reverse=True)
     again = mixing.mix_sources(fx.frame(spark, rows[::-1]), budget_share=share, block_tokens=100).collect()
     assert sorted((r.doc_id or -1, r.copies) for r in again) == sorted((r.doc_id or -1, r.copies) for r in out)
     x = mixing.mix_sources(fx.frame(spark, rows), budget_share=share, block_tokens=100)

@@ -1,4 +1,4 @@
-"""Operators on links between documents, and the pipeline."""
+"""Operators on links between documents."""
 
 import random
 
@@ -159,23 +159,3 @@ def test_answer_check():
     piece = np.arange(20)
     assert decontam.judge(piece, np.concatenate([piece[:8], piece[14:]])) == (14 / 20, True)
     assert decontam.judge(piece, piece[:13])[1] is False
-
-
-def test_pipeline(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs, bench, leaks = _leaky(6)
-    rng = random.Random(9)
-    base = [(1000 + i, fx.prose(rng, 60)) for i in range(10)]
-    near = [(2000 + i, t.replace(" ", "  ") + " end") for i, (_, t) in enumerate(base[:5])]
-    odd = [(3000, None), (3001, "1 2 3"), (3002, "")]
-    rows = [(i, t, "en", "a" if i % 3 else "b", len(t or "")) for i, t in docs + base + near + odd]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    assert not ids & {3000, 3001, 3002}
-    comp = fx.components([(i, t) for i, t, *_ in rows if i < 3000], 5, 80)
-    heads = {i for i, c in comp.items() if i == c}
-    assert ids <= heads and len(heads - ids - {i for i, _ in leaks}) <= 1
-    assert len(ids & {i for i, _ in leaks}) <= 0.1 * len(leaks)
-    assert out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "shard", "shard_depth", "shard_bytes"}
