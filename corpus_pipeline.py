@@ -2,16 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and gives a DataFrame, which :func:`run` writes
 as Parquet to shared storage and reads again for the next stage.
+
+A row is known by its id and its text together, so null ids and ids that several texts share are told apart.  Rows that repeat
+another in id and text stay or go with it, but for the join, which keeps one of them.  An empty table passes through all stages.
+Stages before the last give the columns of ``docs`` and look only at doc_id, text, lang and source; other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import BROADCAST_ROWS, materialise
 from quotemill.llm.decontam import find_leaks
-from quotemill.llm.langid import keep_determined
+from quotemill.llm.langid import keep_placed
 from quotemill.llm.mixing import mix_sources, realise
 from quotemill.llm.ngram_join import ngram_join
 from quotemill.llm.shards import extendible_shards
@@ -20,32 +25,66 @@ WORDS_PER_GRAM, PERCENT = 5, 80
 SHARD_BYTES = 32 << 20
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows of the given ids; their table is broadcast only if counted as small."""
-    ids = materialise(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _doc_key() -> Column:
+    """The id; without one a number by the text, above all ids below 2**62, so such a document is never kept before one with an id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).cast("long") + F.pmod(_text_key(), F.lit(1 << 61).cast("long")))
+
+
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    return docs.select(key.alias("doc_id"), "text")
+
+
+def _among(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined by ``how`` with a written table of distinct keys; it is broadcast only if counted as small."""
+    side = keys.toDF("_pipeline_key")
+    side = F.broadcast(side) if keys.count() <= BROADCAST_ROWS else side
+    return docs.join(side, key == F.col("_pipeline_key"), how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined: without text, or without a letter in it."""
-    return keep_determined(docs)
+    """Drops documents whose language the classifier cannot tell: without a letter, or with all labels' classifiers against them."""
+    return keep_placed(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar 5-word shingles, the one with the smallest id stays."""
-    found = ngram_join(docs, words_per_gram=WORDS_PER_GRAM, percent=PERCENT)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """Of each group of documents linked by similar 5-word shingles, the one with the smallest id stays.
+
+    A document without an id is kept only if its group has none with one.  Of rows alike in id and text the one that sorts first by all
+    columns stays; other texts under the id that stays are the same document and stay too.
+    """
+    found = ngram_join(_keyed(docs, _doc_key()), words_per_gram=WORDS_PER_GRAM, percent=PERCENT)
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    left = _among(docs, _doc_key(), gone, "left_anti")
+    key = F.xxhash64(_doc_key(), _text_key())
+    again = materialise(docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    if again.isEmpty():
+        return left
+    first = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first")
+    one = _among(left, key, again, "left_semi").groupBy(key.alias("_pipeline_key")).agg(first).select("first.*")
+    return _among(left, key, again, "left_anti").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Drops documents that hold a benchmark item; each text is judged by itself, whatever its id."""
+    key = F.xxhash64(_doc_key(), _text_key())
+    leaks = find_leaks(_keyed(docs, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _among(docs, key, materialise(leaks.select("doc_id").distinct(), "leaks"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources up to the tempered weights; every document is read at least once."""
-    return realise(mix_sources(docs, budget_share=None), docs.columns).select(*docs.columns)
+    """Repeats documents of small sources up to the tempered weights; every document is read at least once.
+
+    Rows come as often as they are to be read.  Their reading order (see :func:`mix_sources`) is not among the columns of documents and
+    is worked out again from them where it is needed.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    at = lambda c: names[docs.columns.index(c)]
+    mixed = mix_sources(docs.toDF(*names), source_col=at("source"), id_col=at("doc_id"), text_col=at("text"), budget_share=None)
+    return realise(mixed, names).select(*names).toDF(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
