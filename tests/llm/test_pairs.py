@@ -155,6 +155,26 @@ def test_leaks_among_other_benchmark_words(spark):
     assert len(want) >= 150 and not want - got, (len(want), len(want - got))
 
 
+def test_lookup():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 20, 200, dtype=np.uint64) << np.uint64(40), np.array([5, 5 + (1 << 60), 5 + (1 << 61)], np.uint64)]))
+    absent = np.setdiff1d(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), keys + np.uint64(1)]), keys)
+    find = decontam.Lookup(keys)
+    assert (find(keys) == np.arange(len(keys))).all() and (find(absent) == -1).all() and len(find.levels) > 1
+    alike = decontam.Lookup(np.arange(3, dtype=np.uint64) << np.uint64(63))  # what no table tells apart is compared
+    assert decontam.Lookup(np.zeros(0, np.uint64))(keys).max() == -1 and len(alike.keys) == 3
+
+
+def test_slices_and_trees_change_nothing(spark, monkeypatch):
+    docs, bench, _ = _leaky(5)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    find = lambda: sorted((r.doc_id, r.item_id, round(r.cover, 6), r.answer) for r in decontam.find_leaks(fx.frame(spark, docs).repartition(7), items).collect())
+    want = find()
+    for name, value in (("SLICE_CELLS", 8), ("SLICE_PASSAGES", 3), ("SLICE_HITS", 2), ("FAN_IN", 2)):
+        monkeypatch.setattr(decontam, name, value)
+    assert find() == want and len(want) > 40
+
+
 def test_answer_check():
     piece = np.arange(20)
     assert decontam.judge(piece, np.concatenate([piece[:8], piece[14:]])) == (14 / 20, True)
