@@ -67,13 +67,18 @@ def tidied(batches: Iterator) -> Iterator:
         tidy()
 
 
-def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Write ``df`` to shared storage and read it back: cuts the lineage and survives lost executors."""
+def few_tasks(df: DataFrame, share: int = 8) -> int:
+    """How many tasks are to write a table that is much smaller than ``df``: a file each, not one for every partition of an exchange."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // share)
+
+
+def materialise(df: DataFrame, tag: str = "table", tasks: int | None = None) -> DataFrame:
+    """Write ``df`` to shared storage, by at most so many tasks, and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
     schema = df.schema
     with small_batches(spark):
-        df.write.parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._quotemill_path = path
     return out

@@ -46,13 +46,13 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], ["node", "component"])
 
 
-def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
+def components(edges: DataFrame, task_edges: int | None = None, tasks: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long); the component is its smallest node.
 
     Up to ``task_edges`` (None: ``TASK_EDGES``) counted edges go to one task.  Of more, large-star and small-star steps in turn until nothing changes; each
-    round is written to shared storage.
+    round is written to shared storage.  ``tasks`` is how many are to write the edges given.
     """
-    given = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    given = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges", tasks)
     if given.count() <= (TASK_EDGES if task_edges is None else task_edges):
         return given.coalesce(1).mapInArrow(by_batch(_solve), "node long, component long")
     now = materialise(given.distinct(), "edges")

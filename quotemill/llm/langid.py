@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_batch, id_crc, materialise
+from .common import BROADCAST_ROWS, by_batch, few_tasks, id_crc, materialise
 from .textkit import buffers, chunks
 
 LENGTHS = (1, 2, 3, 4)
@@ -297,6 +297,6 @@ def keep_placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     key = F.xxhash64(F.col(text_col).cast("string"))
     seen = base.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(by_batch(Predict(shared)), "doc_id long, key long, lang_pred string, score double")
-    gone = materialise(seen.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") <= placed)).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "unplaced")
+    gone = materialise(seen.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") <= placed)).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "unplaced", few_tasks(docs))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (key == F.col("_gone_key")), "left_anti")

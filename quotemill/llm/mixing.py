@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few_tasks, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of sources up to this many counted rows are broadcast, and their token counts read by the driver.
@@ -155,7 +155,8 @@ def mix_sources(
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     keyed = docs.select(*names, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), n.alias("n_tokens"), hash60(F.lit(seed), F.col(id_col)).alias("_key"))
     light = materialise(keyed if text_col not in names else keyed.select("_source", "n_tokens", "_key"), "counted")
-    stats = materialise(light.groupBy("_source").agg(F.sum("n_tokens").alias("t")), "sources")
+    few = few_tasks(docs)
+    stats = materialise(light.groupBy("_source").agg(F.sum("n_tokens").alias("t")), "sources", few)
     shares = Shares.of_table(stats)
     mix = plan(shares, entropy_gap, entropy_share, repeat_limit, None if budget_share is None else int(budget_share * shares.tokens))
     t = F.col("t")
@@ -165,7 +166,7 @@ def mix_sources(
     full = F.when(t > 0, F.expr("source_budget div t")).otherwise(1)
     rest = F.when(t > 0, F.expr("source_budget % t")).otherwise(0)
     blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(t / F.lit(block_tokens)))).cast("long")
-    table = materialise(table.select("_source", "source_weight", t.alias("source_tokens"), "source_budget", full.alias("_full"), rest.alias("_rest"), blocks.alias("_blocks")), "weights")
+    table = materialise(table.select("_source", "source_weight", t.alias("source_tokens"), "source_budget", full.alias("_full"), rest.alias("_rest"), blocks.alias("_blocks")), "weights", few)
     small = table.count() <= BROADCAST_SOURCES
     side = lambda x: F.broadcast(x) if small else x
 
@@ -180,12 +181,12 @@ def mix_sources(
     upto = Window.partitionBy("_source").orderBy("mix_block_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = sums.withColumn("_sum", F.sum("t").over(upto)).where(F.col("_sum") > F.col("_rest"))
     edge = edge.groupBy("_source").agg(F.min(F.struct("mix_block_key", (F.col("_rest") - F.col("_sum") + F.col("t")).alias("left"))).alias("e"))
-    edge = materialise(edge.select("_source", F.col("e.mix_block_key").alias("_edge"), F.col("e.left").alias("_left")), "edges")
+    edge = materialise(edge.select("_source", F.col("e.mix_block_key").alias("_edge"), F.col("e.left").alias("_left")), "edges", few)
     inside = placed(light).join(side(edge), "_source").where(F.col("mix_block_key") == F.col("_edge"))
     rows_of = inside.groupBy("_source", "mix_row_key", "_left").agg(F.sum("n_tokens").alias("t"))
     by_row = Window.partitionBy("_source").orderBy("mix_row_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = rows_of.withColumn("_sum", F.sum("t").over(by_row)).where(F.col("_sum") <= F.col("_left")).groupBy("_source").agg(F.max("mix_row_key").alias("_cut"))
-    ends = materialise(edge.join(side(cut), "_source", "left").select("_source", "_edge", "_cut"), "ends")
+    ends = materialise(edge.join(side(cut), "_source", "left").select("_source", "_edge", "_cut"), "ends", few)
     out = placed(keyed if text_col in names else light).join(side(ends), "_source", "left")
     extra = (F.col("_rest") > 0) & ((F.col("mix_block_key") < F.col("_edge")) | ((F.col("mix_block_key") == F.col("_edge")) & (F.col("mix_row_key") <= F.col("_cut"))))
     copies = F.col("_full") + F.coalesce(extra, F.lit(False)).cast("long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_group, discard, materialise, mix64, small_batches
+from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_group, discard, few_tasks, materialise, mix64, small_batches
 from .graph import components
 from .textkit import ngram_hashes, words
 
@@ -286,9 +286,10 @@ def _small(df: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, rare_bits: int, often_bits: int, often: int):
         self.percent, self.spark = percent, docs.sparkSession
+        self.tasks, self.few = few_tasks(docs, 1), few_tasks(docs)
         self.sets = materialise(docs.mapInArrow(by_batch(Sets(n)), Sets.schema), "sets")
         known = self.sets.where("digest is not null and doc_id is not null")
-        self.classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+        self.classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes", self.tasks)
         buckets = buckets_for(self.sets)
         counted = self.sets.select("tokens").where("tokens is not null").mapInArrow(by_batch(TokenKeys(buckets)), TokenKeys.schema)
         twice, often_f = filters(buckets, rare_bits, often_bits)
@@ -298,7 +299,7 @@ class _Join:
         self.shared = self.spark.sparkContext.broadcast((twice, often_f))
         prefixes = self.sets.select("digest", "tokens").where("tokens is not null").mapInArrow(by_batch(Prefixes(self.shared, percent)), Prefixes.schema)
         prefixes = prefixes.dropDuplicates(["digest"]).join(self.classes, "digest")
-        self.nodes = materialise(prefixes.select("node", "digest", "n", "own", "a", "b", "c"), "nodes")
+        self.nodes = materialise(prefixes.select("node", "digest", "n", "own", "a", "b", "c"), "nodes", self.tasks)
 
     def fits(self, x: str, y: str):
         return F.least(F.col(x), F.col(y)) * 100 >= self.percent * F.greatest(F.col(x), F.col(y))
@@ -311,18 +312,18 @@ class _Join:
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """(node, digest, tokens) of the wanted nodes."""
-        keys = materialise(wanted.distinct().join(self.classes, "node").select("node", "digest"), "wanted")
+        keys = materialise(wanted.distinct().join(self.classes, "node").select("node", "digest"), "wanted", self.few)
         found = self.sets.where("tokens is not null").select("digest", "tokens").join(_small(keys), "digest")
         return found.dropDuplicates(["node", "digest"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The candidate pairs that link, verified on whole sets."""
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs, "pairs", self.few)
         both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-        got = materialise(self.fetch(both), "fetched")
+        got = materialise(self.fetch(both), "fetched", self.tasks)
         side = lambda k: got.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         ready = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv")
-        out = materialise(ready.mapInArrow(by_batch(Verify(self.percent)), Verify.schema), "links")
+        out = materialise(ready.mapInArrow(by_batch(Verify(self.percent)), Verify.schema), "links", self.tasks)
         discard(got)
         discard(pairs)
         return out
@@ -330,7 +331,7 @@ class _Join:
     def stars(self) -> DataFrame:
         g = self.nodes.select("node", "n", "own", F.explode("a").alias("token"))
         lead = g.groupBy("token").agg(F.min(F.struct("own", (-F.col("n")).alias("m"), "node")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-        lead = materialise(lead.select("token", "lead"), "leads")  # so that a token of very many sets can be split
+        lead = materialise(lead.select("token", "lead"), "leads", self.few)  # so that a token of very many sets can be split
         pairs = g.join(lead, "token").select("node", "n", F.col("lead.node").alias("l"), (-F.col("lead.m")).alias("ln"))
         pairs = pairs.where((F.col("node") != F.col("l")) & self.fits("n", "ln"))
         return self.filtered(pairs.select(F.greatest("node", "l").alias("u"), F.least("node", "l").alias("v")).distinct())
@@ -338,24 +339,24 @@ class _Join:
     def rest(self, labels: DataFrame) -> list[DataFrame]:
         """Links between components that the stars left apart."""
         node = self.nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        node = materialise(node.select("node", "n", "component", "a"), "labelled")
+        node = materialise(node.select("node", "n", "component", "a"), "labelled", self.tasks)
         g = node.select("node", "n", "component", F.explode("a").alias("token"))
         sizes = g.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token")
         sizes = sizes.agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.count("*").alias("parts")).where("parts > 1")
-        sizes = materialise(sizes.select("token", (F.expr("m * m - sq") > 2 * PAIRS_PER_ROW * F.col("m")).alias("dense")), "groups")
-        light = materialise(g.join(sizes.where("not dense"), "token").select("node", "n", "component", "token"), "light")
+        sizes = materialise(sizes.select("token", (F.expr("m * m - sq") > 2 * PAIRS_PER_ROW * F.col("m")).alias("dense")), "groups", self.few)
+        light = materialise(g.join(sizes.where("not dense"), "token").select("node", "n", "component", "token"), "light", self.few)
         x = light.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), "token")
         y = light.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), "token")
         pairs = x.join(y, "token").where((F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v")) & self.fits("nu", "nv"))
         found = [self.links(self.filtered(pairs.select("u", "v").distinct()))]
-        heavy = materialise(g.join(sizes.where("dense"), "token").select("node", "n", "component", "token"), "heavy")
+        heavy = materialise(g.join(sizes.where("dense"), "token").select("node", "n", "component", "token"), "heavy", self.few)
         if heavy.isEmpty():
             return found
         lead = heavy.groupBy("token").agg(F.min("node").alias("v"))
-        area = components(heavy.join(lead, "token").select(F.col("node").alias("u"), "v"))
+        area = components(heavy.join(lead, "token").select(F.col("node").alias("u"), "v"), tasks=self.few)
         own = heavy.select("node", "n", "component").distinct().join(area.select("node", F.col("component").alias("area")), "node")
         # Sizes in steps of 1/t: only sets of the same or the next step can link.
-        own = materialise(own.withColumn("step", F.floor(F.log(F.col("n")) / float(np.log(100 / self.percent)) + 1e-9).cast("int")), "areas")
+        own = materialise(own.withColumn("step", F.floor(F.log(F.col("n")) / float(np.log(100 / self.percent)) + 1e-9).cast("int")), "areas", self.few)
         blocks = own.groupBy("area", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
         near = lambda d, k: blocks.select("area", (F.col("step") + d).alias("step"), F.col("blocks").alias(k))
         own = own.join(blocks, ["area", "step"]).join(near(-1, "above"), ["area", "step"], "left").join(near(1, "below"), ["area", "step"], "left")
@@ -367,10 +368,10 @@ class _Join:
             F.expr("transform(_above, j -> struct(step as s, 1 as d, i as p, j as q, true as left, false as same))"),
             F.expr("transform(_below, j -> struct(step - 1 as s, 1 as d, j as p, i as q, false as left, false as same))"),
         )
-        got = materialise(self.fetch(own.select("node")), "fetched")
+        got = materialise(self.fetch(own.select("node")), "fetched", self.tasks)
         tasks = own.select("node", "component", "area", F.explode(jobs).alias("job")).join(got.select("node", "tokens"), "node")
         tasks = tasks.select("node", "component", "tokens", "area", "job.s", "job.d", "job.p", "job.q", "job.left", "job.same")
-        found.append(materialise(tasks.groupBy("area", "s", "d", "p", "q").applyInPandas(by_group(BlockLinks(self.percent)), BlockLinks.schema), "links"))
+        found.append(materialise(tasks.groupBy("area", "s", "d", "p", "q").applyInPandas(by_group(BlockLinks(self.percent)), BlockLinks.schema), "links", self.tasks))
         return found
 
 
@@ -390,12 +391,12 @@ def ngram_join(
     twice = ids.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     alike = ids.join(twice, "doc_id").select(F.col("node").alias("u"), F.col("lo").alias("v"))
     links = join.links(join.stars()).unionByName(alike)
-    labels = materialise(components(links), "labels")
+    labels = materialise(components(links, tasks=join.few), "labels")
     more = join.rest(labels)
     edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
     for x in more:
         edges = edges.unionByName(x)
-    final = components(edges)
+    final = components(edges, tasks=join.few)
     labelled = join.classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     rows = join.sets.select("doc_id", "n", "digest").join(labelled, "digest", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
