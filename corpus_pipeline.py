@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import BROADCAST_ROWS, materialise
+from quotemill.llm.common import BROADCAST_ROWS, few_tasks, materialise
 from quotemill.llm.decontam import find_leaks
 from quotemill.llm.langid import keep_placed
 from quotemill.llm.mixing import mix_sources, realise
@@ -57,10 +57,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     columns stays; other texts under the id that stays are the same document and stay too.
     """
     found = ngram_join(_keyed(docs, _doc_key()), words_per_gram=WORDS_PER_GRAM, percent=PERCENT)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies", few_tasks(docs))
     left = _among(docs, _doc_key(), gone, "left_anti")
     key = F.xxhash64(_doc_key(), _text_key())
-    again = materialise(docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    again = materialise(docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"), "again", few_tasks(docs))
     if again.isEmpty():
         return left
     first = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first")
@@ -72,7 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that hold a benchmark item; each text is judged by itself, whatever its id."""
     key = F.xxhash64(_doc_key(), _text_key())
     leaks = find_leaks(_keyed(docs, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _among(docs, key, materialise(leaks.select("doc_id").distinct(), "leaks"), "left_anti")
+    return _among(docs, key, materialise(leaks.select("doc_id").distinct(), "leaks", few_tasks(docs)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
