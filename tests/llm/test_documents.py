@@ -354,20 +354,72 @@ def test_licenses(spark):
     rows = fx.edge_rows() + [
         (20, "Licensed under CC BY-NC 4.0. CC BY"), (21, "GNU General Public License, and general  public\nlicense. All rights\treserved"), (22, "cc, by; all rights not reserved ccby"),
         (23, "Released under the MIT License."), (24, "the Apache License, Version 2.0"), (25, "apache license version 3 0"), (26, "écc by cc by"), (27, "license public general rights all reserved by cc"),
+        (28, "SPDX-License-Identifier: MIT"), (29, "SPDX-License-Identifier: Apache-2.0"),
     ]
     got = {}
     for r in licenses.scan_licenses(fx.frame(spark, rows)).collect():
         got.setdefault(r.doc_id, r)
     for i, t, *_ in rows:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fx.lower(t))
-        places = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        places = [(k, p.label) for p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.words())] == p.words()]
         r = got[i]
         starts = [k for k, _ in places]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(starts, default=None), max(starts, default=None)), (i, r)
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[20].labels == "cc-by,cc-by-nc" and got[23].labels == "mit" and got[24].labels == "apache-2.0" and got[24].score == 1
-    assert got[25].labels == "" and got[27].labels == "" and got[0].score == 0
+    assert got[25].labels == "" and got[27].labels == "" and got[0].score == 0 and got[28].labels == "mit" and got[29].labels == "apache-2.0"
     assert licenses.scan_licenses(fx.frame(spark, [])).count() == 0
     plan = licenses.scan_licenses(fx.frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_license_bodies(spark):
+    """Bodies among other words, with words changed, left out and put in: found as long as their key phrases stand."""
+    rng = random.Random(2)
+    filler = [f"fill{k}" for k in range(60)]
+    bodies = [t for t in licenses.MORE if t.keys and len(t.words()) >= 12]
+    rows, want = [], {}
+    for i, t in enumerate(bodies):
+        w = re.sub(r"[^\w]+", " ", t.text).split()
+        rows.append((3 * i, " ".join(rng.choices(filler, k=9) + w + rng.choices(filler, k=5))))
+        want[3 * i] = t.label
+        key = t.phrases()[0]
+        at = next(k for k in range(len(w)) if [x.lower() for x in w[k : k + len(key)]] == key)
+        broken = w[:at] + ["other"] + w[at + 1 :]  # a key phrase that is not whole
+        rows.append((3 * i + 1, " ".join(broken)))
+        moved = w[: at] + ["put", "in"] + w[at:]
+        rows.append((3 * i + 2, " ".join(moved)))
+    got = {r.doc_id: r for r in licenses.scan_licenses(fx.frame(spark, rows), templates=tuple(bodies)).collect()}
+    assert len(bodies) >= 12
+    for i, label in want.items():
+        assert label in got[i].labels.split(",") and got[i].score >= 0.999, (label, got[i])
+        assert label not in got[i + 1].labels.split(","), (label, got[i + 1])
+        assert label in got[i + 2].labels.split(","), (label, got[i + 2])
+
+
+def test_licenses_of_any_number_of_templates(spark):
+    """The same as the SQL says, and a plan that does not grow."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    pool = [f"{a}{b}" for a in "bcdfg" for b in ("ra", "ne", "tis", "lom", "um", "ves")]
+    own = tuple(licenses.Template(f"l{i}", fx.prose(rng, rng.randrange(2, 14), pool)) for i in range(90))
+    own += tuple(licenses.Template(f"m{i}", " ".join(w), (" ".join(w[3:6]), " ".join(w[9:11]))) for i in range(40) for w in [fx.prose(rng, 20, pool).split()])
+    rows = fx.edge_rows()[:4]
+    for i in range(120):
+        w = own[i % len(own)].words()
+        w = [rng.choice(pool) if rng.random() < 0.1 else x for x in w if rng.random() > 0.05]
+        rows.append((100 + i, f"{fx.prose(rng, rng.randrange(9), pool)} {' '.join(w)}. {fx.prose(rng, rng.randrange(9), pool)}"))
+    templates = licenses.BASE + own
+    docs = fx.frame(spark, rows)
+    found = licenses.scan_licenses(docs, templates=templates)
+    db = duckdb.connect()
+    db.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = db.execute(licenses.oracle(templates)).fetchall()
+    clean = lambda rs: sorted(tuple("" if v is None else str(v) for v in r) for r in rs)
+    assert clean(map(tuple, found.collect())) == clean(want)
+    assert len({r[6] for r in want}) > 30
+    nodes = lambda df: df._jdf.queryExecution().analyzed().toString().count("lambdafunction")
+    assert len(templates) > 100 and nodes(found) == nodes(licenses.scan_licenses(docs, templates=licenses.BASE))
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, templates=(licenses.Template("x", "one"),))
