@@ -21,6 +21,8 @@ from .unit_dedup import repeated_spans
 
 #: A shard of the query is what one read of a training loop takes.
 SHARD_BYTES = 128 << 10
+#: Shorter runs of repeated sentences are left: by chance alone most documents share some.
+RUN_WORDS = 30
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -37,7 +39,7 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(documents(spark, sf_dir)).drop("text_key", "row")
+    return repeated_spans(documents(spark, sf_dir), min_words=RUN_WORDS).drop("text_key", "row")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

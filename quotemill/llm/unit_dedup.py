@@ -3,15 +3,16 @@
 A unit is a line, cut further after words that end in ``.``, ``!`` or ``?``, so a passage within a paragraph is found as well as
 one of whole lines.  Units are normalised (A-Z as a-z, white space between words not regarded) and get a 128-bit digest.
 Digests are grouped over all documents; the occurrence first by (id, row, unit) stays and all others are repeats.  Repeats next
-to each other in a document form a run, and runs of at least ``MIN_WORDS`` words are removed, as ranges of characters
-of the original text.
+to each other in a document form a run, and runs of at least ``min_words`` words are removed (1: every repeat), as ranges of
+characters of the original text.
 
 Repeats of at least ``PASSAGE_WORDS`` words across texts may also start and end within a unit.  Of every ``PASSAGE_WORDS`` words in a row the least digest of
 ``ANCHOR_WORDS`` words is an anchor, so texts that share such a passage share an anchor of it.  Repeated anchors are extended word by word
 against the text that has them first, and what is found is merged with the runs.
 
-Counts are combined before the exchange, so a line that is everywhere costs a row per task there; the join of repeats is
-split by adaptive execution where one digest has many.
+Counts are combined before the exchange, so a line that is everywhere costs a row per task there.  Repeated digests are written before
+they are joined, so that both sides of the join are dealt out anew and adaptive execution can split a digest that is everywhere.
+Ids and texts of rows join their spans at the end.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialise, mix64, small_batches
+from .common import by_batch, few_tasks, materialise, mix64, small_batches
 from .textkit import Words, ngram_hashes, words
 
-MIN_WORDS = 30
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 20
 PAIR_ROWS = 100
 _ENDS = np.zeros(256, bool)
@@ -144,12 +144,17 @@ class Passages:
                 yield begin, to
 
 
-def _passages(base: DataFrame, found: DataFrame) -> DataFrame:
+def _repeated(table: DataFrame, order: list[str], tasks: int) -> DataFrame:
+    """(d1, d2, first) of digests that stand more than once: ``first`` is the least occurrence."""
+    groups = table.groupBy("d1", "d2").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return materialise(groups.select("d1", "d2", "first"), "repeated", tasks)
+
+
+def _passages(base: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
     """Repeated passages of every row by their words, found from anchors."""
-    order = F.struct("doc_id", "row", "word", "text_key")
-    groups = found.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    again = found.join(groups, ["d1", "d2"]).where("text_key <> first.text_key")
-    again = materialise(again.select("doc_id", "text_key", "row", "word", "first"), "anchors")
+    groups = _repeated(found, ["doc_id", "row", "word", "text_key"], tasks)
+    again = found.select("d1", "d2", "text_key", "row", "word").join(groups, ["d1", "d2"]).where("text_key <> first.text_key")
+    again = materialise(again.select("text_key", "row", "word", "first"), "anchors", tasks)
     seeds = F.collect_set(F.struct("word", F.col("first.word").alias("other"))).alias("seeds")
     pairs = again.groupBy("text_key", F.col("first.text_key").alias("other_key")).agg(F.min("first.doc_id").alias("keep"), seeds)
     wanted = again.select(F.explode(F.array("text_key", "first.text_key")).alias("text_key")).distinct()
@@ -157,55 +162,57 @@ def _passages(base: DataFrame, found: DataFrame) -> DataFrame:
     others = texts.select(F.col("text_key").alias("other_key"), F.col("text").alias("other"))
     both = pairs.join(texts, "text_key").join(others, "other_key").select("text_key", "keep", "seeds", "text", "other")
     with small_batches(base.sparkSession, PAIR_ROWS):
-        passages = materialise(both.mapInArrow(by_batch(Passages()), Passages.schema), "passages")
-    return again.select("doc_id", "text_key", "row").distinct().join(passages, "text_key")
+        passages = materialise(both.mapInArrow(by_batch(Passages()), Passages.schema), "passages", tasks)
+    return again.select("text_key", "row").distinct().join(passages, "text_key").drop("text_key")
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """The spans, and all units."""
+    """The spans, and all rows with words by their number, id and text."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    few, many = few_tasks(docs), few_tasks(docs, 1)
     table = materialise(base.mapInArrow(by_batch(Units()), Units.schema), "units")
+    rows = table.where("unit = 0").select("row", "doc_id", "text_key")
     all_units = table.where("unit >= 0")
-    first = F.min(F.struct("doc_id", "row", "unit")).alias("first")
-    groups = all_units.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    found = all_units.join(groups, ["d1", "d2"])
-    again = found.where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
+    groups = _repeated(all_units, ["doc_id", "row", "unit"], many)
+    found = all_units.select("d1", "d2", "row", "unit", "words", "word", "start", "end").join(groups, ["d1", "d2"])
+    again = found.where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit"))).select("row", "unit", "words", "word", "start", "end", F.col("first.doc_id").alias("keep"))
     again = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit")))
-    runs = again.groupBy("doc_id", "text_key", "row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "first.doc_id")).alias("kept"), F.min("word").alias("word")
+    runs = again.groupBy("row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "keep")).alias("kept"), F.min("word").alias("word")
     )
     runs = runs.where(F.col("n_words") >= min_words)
-    keys = ["doc_id", "text_key", "row"]
-    runs = runs.select(*keys, "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", "n_units", F.col("kept.doc_id").alias("keep"))
-    more = _passages(base, table.where("unit < 0")).select(*keys, "word", F.col("to").cast("long").alias("to"), "start", "end", F.lit(0).cast("long").alias("n_units"), "keep")
+    runs = runs.select("row", "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", "n_units", F.col("kept.keep").alias("keep"))
+    more = _passages(base, table.where("unit < 0"), few).select("row", "word", F.col("to").cast("long").alias("to"), "start", "end", F.lit(0).cast("long").alias("n_units"), "keep")
     # spans that touch become one
     of_row = Window.partitionBy("row").orderBy("word", "to", "n_units", "keep")
     apart = (F.col("word") > F.coalesce(F.max("to").over(of_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     merged = runs.unionByName(more).withColumn("apart", apart).withColumn("part", F.sum("apart").over(of_row))
-    spans = merged.groupBy(*keys, "part").agg(
+    spans = merged.groupBy("row", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"), (F.max("to") - F.min("word")).alias("n_words"), F.min(F.struct("word", "keep")).alias("kept")
     )
     real = lambda c: F.when(c != NULL_ID, c)
-    return spans.select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_units", "n_words", real(F.col("kept.keep")).alias("keep_doc_id"), "text_key", "row"), all_units
+    spans = spans.join(rows, "row").select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_units", "n_words", real(F.col("kept.keep")).alias("keep_doc_id"), "text_key", "row")
+    return spans, rows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """A row per removed span: doc_id, start, end (characters of the original text), n_units, n_words, keep_doc_id, text_key.
 
-    ``n_units`` counts whole repeated units.  ``keep_doc_id`` is the document that keeps the span's first words.  Null and blank texts
+    Of repeated units every run of ``min_words`` words in all is removed, so with 1 every repeated line and sentence.  ``n_units``
+    counts whole repeated units.  ``keep_doc_id`` is the document that keeps the span's first words.  Null and blank texts
     have no units.  A null id sorts after all others.  Repeated rows are documents of their own: the first read keeps its passages.
-    Other columns are not looked at.
+    A text of any length is one row of many units.  Other columns are not looked at.  An empty table gives no rows.
     """
     return _spans(docs, id_col, text_col, min_words)[0]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """``docs`` with the spans taken out of the text, and ``removed``: their (start, end) in the original text.
 
     Of rows alike in id and text, the one that keeps its passages cannot be told from the others, so all keep what the first does.
     """
-    found, all_units = _spans(docs, id_col, text_col, min_words)
-    first = all_units.groupBy(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("_id"), F.col("text_key").alias("_key")).agg(F.min("row").alias("row"))
+    found, rows = _spans(docs, id_col, text_col, min_words)
+    first = rows.groupBy(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("_id"), F.col("text_key").alias("_key")).agg(F.min("row").alias("row"))
     spans = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     spans = first.join(spans, "row").drop("row")
     names = [c for c in docs.columns if c != "removed"]

@@ -5,6 +5,8 @@ from quotemill.llm import unit_dedup
 
 from . import fixtures as fx
 
+LEAST = 30
+
 
 def brute(rows, least):
     """Spans by loops: (id, start, end, words, id that keeps)."""
@@ -49,11 +51,11 @@ def test_spans(spark):
             text = text + rng.choice([" ", "\n", "\n\n\t"]) + rng.choice(passages).replace(" ", rng.choice([" ", "  "])) + " " + sentences(rng, 3)
         rows.append((i, text))
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "Short line."), (104, "Short line."), (None, passages[0]), (105, "x " * 100_000)]
-    got = unit_dedup.repeated_spans(fx.frame(spark, rows)).collect()
-    want = brute(rows, unit_dedup.MIN_WORDS)
+    got = unit_dedup.repeated_spans(fx.frame(spark, rows), min_words=LEAST).collect()
+    want = brute(rows, LEAST)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.doc_id, r.start, r.end, r.n_words, r.keep_doc_id) for r in got], key=key) == sorted(want, key=key) and len(want) > 20
-    clean = {r.doc_id: r for r in unit_dedup.remove_repeats(fx.frame(spark, rows)).collect()}
+    clean = {r.doc_id: r for r in unit_dedup.remove_repeats(fx.frame(spark, rows), min_words=LEAST).collect()}
     assert len(clean) == len(rows)
     for doc, text in rows:
         cuts = [(r.start, r.end) for r in clean[doc].removed or []]
@@ -63,6 +65,16 @@ def test_spans(spark):
         assert clean[doc].text == text
 
 
+def test_every_repeat(spark):
+    """By default a repeat of any length goes."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join([sentences(rng, 3), rng.choice(["All of this is shared here.", "Short.", "x"]), sentences(rng, 2)])) for i in range(30)] + [(50, "Short.\nShort.\nnew words here"), (None, None)]
+    got = [(r.doc_id, r.start, r.end, r.n_words, r.keep_doc_id) for r in unit_dedup.repeated_spans(fx.frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute(rows, 1)) and len(got) > 25 and min(r[3] for r in got) == 1
+    clean = {r.doc_id: r.text for r in unit_dedup.remove_repeats(fx.frame(spark, rows)).collect()}
+    assert clean[50] == "\nnew words here" and clean[None] is None
+
+
 def test_repeated_rows_and_nothing(spark):
     text = "one two three four five six. " * 8
     rows = [(1, text + "a."), (1, text + "a."), (2, text + "b.")]
@@ -86,7 +98,7 @@ def test_passages_within_sentences(spark):
         rows += [(i, h + passage + t), (i + 1, h2 + passage.upper() + t2)]
         want[i + 1] = (len(h2), len(h2) + len(passage), len(fx.split(passage)), i)
     rows += [(200 + k, f"{free(30)} a{k} {rows[0][1].split(' ', 1)[1][:60]} b{k}") for k in range(3)]  # too short
-    got = {r.doc_id: (r.start, r.end, r.n_words, r.keep_doc_id) for r in unit_dedup.repeated_spans(fx.frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.start, r.end, r.n_words, r.keep_doc_id) for r in unit_dedup.repeated_spans(fx.frame(spark, rows), min_words=LEAST).collect()}
     assert got == want
 
 
@@ -95,6 +107,6 @@ def test_repeated_rows_keep_what_the_first_does(spark):
     plain, other = sentences(rng, 8), sentences(rng, 9)
     inner = sentences(rng, 7)
     rows = [(1, plain), (1, plain), (2, inner + " Between. " + inner), (2, inner + " Between. " + inner), (None, other), (None, other), (3, plain)]
-    clean = [(r.doc_id, r.text) for r in unit_dedup.remove_repeats(fx.frame(spark, rows)).collect()]
+    clean = [(r.doc_id, r.text) for r in unit_dedup.remove_repeats(fx.frame(spark, rows), min_words=LEAST).collect()]
     assert len(fx.split(plain)) >= 30 and len(fx.split(inner)) >= 30
     assert sorted(clean, key=str) == sorted([(1, plain)] * 2 + [(2, inner + " Between. ")] * 2 + [(None, other)] * 2 + [(3, "")], key=str)
