@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import sys
-from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import BinSpec, DenoiseConfig, EventConfig, NbboConfig, QuoteConfig, StrategyConfig, parse_range, parse_years
 from .operators import denoise, events, histogram, nbbo, pnl, quotes, strategy
-from .plans.pipeline import build_nbbo
+from .plans.pipeline import stored_grid, winsorised
 from .plans.timing import Timings
-from .sources import stored
+from .sources import files, stored
 from .sources.quotes import read_quotes
 
 
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--in", dest="source", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--report")
+    a.add_argument("--cache", help="folder that keeps the event and clock grids; given again, the quote files are not read")
     a.add_argument("--sym-root", default="SPY")
     a.add_argument("--years", default="0:0", help="lo:hi, 0 for open")
     a.add_argument("--clock", action="store_true")
@@ -71,11 +72,19 @@ def run(args: argparse.Namespace, spark: SparkSession, timings: Timings) -> None
             rules = QuoteConfig(venues=args.ex, open_ms=lo, close_ms=hi)
             fill = args.ffill and not args.event
             cfg = NbboConfig(args.clock and not args.event, fill, args.max_ffill_gap_ms, args.winsor, tuple(float(x) for x in args.winsor_quantiles.split(",")))
-            q = read_quotes(spark, args.source, args.sym_root, parse_range(args.years))
-            q = q.withColumn("day", F.col("date")).withColumn("ms", F.col("tod_ms"))
-            stored.write_nbbo(build_nbbo(q, cfg, rules), args.out, cfg)
+            years = parse_range(args.years)
+            cache = args.cache or files.scratch_dir(spark)
+
+            def raw() -> DataFrame:
+                return read_quotes(spark, args.source, args.sym_root, years).withColumn("day", F.col("date")).withColumn("ms", F.col("tod_ms"))
+
+            # All quotes that count or that the report counts, read and parsed once.
+            once = functools.cache(lambda: files.written(quotes.classify(raw(), rules)) if args.report else quotes.classify(raw(), rules))
+            source = f"{args.source}|{args.sym_root}|{years}"
+            x = stored_grid(spark, cache, source, lambda: once().where("category is null").drop("category"), cfg, rules)
+            stored.write_nbbo(winsorised(x, cfg), args.out, cfg)
             if args.report:
-                Path(args.report).write_text(stored.glitch_report(quotes.glitches_by_hour(q, rules)))
+                files.write_text(spark, args.report, stored.glitch_report(quotes.counted_by_hour(once())))
         elif args.tool == "denoise":
             x, cfg = nbbo.unstamped(stored.read_nbbo(spark, args.source)), DenoiseConfig(args.thr)
             stored.write_nbbo(denoise.remove_spikes(x.drop("ts", "year"), cfg), args.out, NbboConfig())
@@ -97,7 +106,7 @@ def run(args: argparse.Namespace, spark: SparkSession, timings: Timings) -> None
             stored.write_daily(pnl.daily_pnl(trades), f"{args.out}/daily")
         else:
             s = pnl.yearly_summary(stored.read_trades(spark, args.trades_dir), parse_years(args.years))
-            Path(args.out_file).write_text(stored.yearly_report(s, args.trades_dir))
+            files.write_text(spark, args.out_file, stored.yearly_report(s, args.trades_dir))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -31,11 +31,11 @@ def consolidate(quotes: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def with_log_return(nbbo: DataFrame) -> DataFrame:
-    """``ln(mid / previous mid)`` within the day; null on its first row and where a mid is not positive."""
+    """``ln(mid / previous mid)`` within the day, the quotient of the mids' own type; null on its first row and where a mid is not positive."""
     prev = F.lag("mid").over(by_day())
     kind = dict(nbbo.dtypes)["mid"]
     ok = (F.col("mid") > 0) & (prev > 0)
-    return nbbo.withColumn("log_return", F.when(ok, F.log(F.col("mid") / F.when(prev > 0, prev))).cast(kind))
+    return nbbo.withColumn("log_return", F.when(ok, F.log((F.col("mid") / F.when(prev > 0, prev)).cast(kind))).cast(kind))
 
 
 def fill_clock(nbbo: DataFrame, step: int = 1, max_gap: int = 250) -> DataFrame:

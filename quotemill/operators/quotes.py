@@ -31,10 +31,15 @@ def good_quotes(quotes: DataFrame, cfg: QuoteConfig = QuoteConfig()) -> DataFram
     return classify(quotes, cfg).where("category is null").drop("category")
 
 
-def glitches_by_hour(quotes: DataFrame, cfg: QuoteConfig = QuoteConfig()) -> DataFrame:
-    bad = classify(quotes, cfg).where("category is not null")
+def counted_by_hour(classified: DataFrame) -> DataFrame:
+    """Bad quotes of a classified table by category and hour."""
+    bad = classified.where("category is not null")
     return bad.groupBy("category", F.floor(F.col("tod_ms") / 3_600_000).cast("int").alias("hour")).agg(F.count("*").alias("n"))
 
 
+def glitches_by_hour(quotes: DataFrame, cfg: QuoteConfig = QuoteConfig()) -> DataFrame:
+    return counted_by_hour(classify(quotes, cfg))
+
+
 def glitch_totals(quotes: DataFrame, cfg: QuoteConfig = QuoteConfig()) -> DataFrame:
     return glitches_by_hour(quotes, cfg).groupBy("category").agg(F.sum("n").alias("n"))

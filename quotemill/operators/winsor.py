@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranks up to this many from an end are found by a bounded top-k; farther ones by refining counts.
-TOP_K = 100_000
 PARTS = 1 << 13
+#: An interval that holds so many values or fewer is read, a larger one cut up.
+FEW = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -25,47 +25,58 @@ def finite(c: str = "log_return") -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def kth_smallest(df: DataFrame, column: str, k: int) -> float | None:
-    """Exact value of 0-based ascending rank ``k`` among the finite values, by counting in ever smaller intervals.
+def ranked(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> tuple[int, list[float | None]]:
+    """The number N of finite values, and the exact values of 0-based ascending rank floor(q N).  Ranks beyond an end are the end's.
 
-    Each pass is one aggregate of at most 8192 groups, so memory and shuffle stay bounded whatever the rank.
+    Each pass cuts the interval of every rank into at most 8192 and counts, so memory and shuffle stay bounded whatever the ranks.
     """
     x = df.where(finite(column)).select(F.col(column).cast("double").alias("x"))
-    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if not n or k >= n:
-        return None
-    parts = PARTS
-    while lo < hi:
-        width = (hi / parts) - (lo / parts)
-        if not width > 0 or lo + width == lo:
-            width = max(math.ulp(lo), math.ulp(hi))
-        inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        cell = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(parts - 1))
-        rows = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        for r in sorted(rows, key=lambda r: r["c"]):
-            if k < r["n"]:
-                lo, hi = r["lo"], r["hi"]
-                break
-            k -= r["n"]
-    return lo
-
-
-def cutoffs(df: DataFrame, q_lo: float, q_hi: float, column: str = "log_return", top_k: int = TOP_K) -> Cutoffs:
-    """Values of 0-based ascending rank floor(q N) among the N finite values; ranks beyond the end are the end's."""
-    x = df.where(finite(column)).select(F.col(column).alias("x"))
-    n = x.count()
+    least, most, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if not n:
-        return Cutoffs(None, None, 0)
+        return 0, [None] * len(quantiles)
+    # of each rank: its interval, the rank within, and how many values the interval holds
+    at = [[least, most, min(max(math.floor(q * n), 0), n - 1), n] for q in quantiles]
+    while wide := [i for i, (lo, hi, _, _) in enumerate(at) if lo < hi]:
+        few = [i for i in wide if at[i][3] <= FEW]
+        inside = lambda i: F.col("x").between(at[i][0], at[i][1])  # noqa: B023, E731
+        if few:
+            rows = x.select(F.explode(F.array_compact(F.array(*[F.when(inside(i), F.struct(F.lit(i).alias("i"), "x")) for i in few]))).alias("r")).select("r.*").collect()
+            for i in few:
+                value = sorted(r["x"] for r in rows if r["i"] == i)[at[i][2]]
+                at[i] = [value, value, 0, 1]
+            continue
+        cells = []
+        for i in wide:
+            lo, hi, _, _ = at[i]
+            width = (hi / PARTS) - (lo / PARTS)
+            if not width > 0 or lo + width == lo:
+                width = max(math.ulp(lo), math.ulp(hi))
+            cell = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(PARTS - 1))
+            cells.append(F.when(inside(i), F.struct(F.lit(i).alias("i"), cell.alias("c"), "x")))
+        groups = x.select(F.explode(F.array_compact(F.array(*cells))).alias("r")).groupBy("r.i", "r.c").agg(F.count("*").alias("n"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"))
+        for r in sorted(groups.collect(), key=lambda r: (r["i"], r["c"])):
+            _, _, rank, left = at[r["i"]]
+            if left < 0:
+                continue  # the rank's cell is found
+            if rank < r["n"]:
+                at[r["i"]] = [r["lo"], r["hi"], rank, -r["n"]]
+            else:
+                at[r["i"]][2] = rank - r["n"]
+        for i in wide:
+            at[i][3] = abs(at[i][3])
+    return n, [lo for lo, *_ in at]
+
+
+def kth_smallest(df: DataFrame, column: str, k: int) -> float | None:
+    """Exact value of 0-based ascending rank ``k`` among the finite values."""
+    n = df.where(finite(column)).count()
+    return ranked(df, column, ((k + 0.5) / n,))[1][0] if k < n else None
 
-    def at(rank: int) -> float:
-        rank = min(max(rank, 0), n - 1)
-        if rank < top_k:
-            return x.orderBy("x").limit(rank + 1).agg(F.max("x")).first()[0]
-        if n - rank <= top_k:
-            return x.orderBy(F.desc("x")).limit(n - rank).agg(F.min("x")).first()[0]
-        return kth_smallest(df, column, rank)
 
-    return Cutoffs(at(math.floor(q_lo * n)), at(math.floor(q_hi * n)), n)
+def cutoffs(df: DataFrame, q_lo: float, q_hi: float, column: str = "log_return") -> Cutoffs:
+    """Values of 0-based ascending rank floor(q N) among the N finite values; ranks beyond the end are the end's."""
+    n, (lo, hi) = ranked(df, column, (q_lo, q_hi))
+    return Cutoffs(lo, hi, n)
 
 
 def clip(df: DataFrame, cut: Cutoffs, column: str = "log_return") -> DataFrame:
@@ -84,4 +95,4 @@ def drop(df: DataFrame, cut: Cutoffs, column: str = "log_return") -> DataFrame:
     return df.where(~finite(column) | F.col(column).between(cut.lo, cut.hi))
 
 
-__all__ = ["Cutoffs", "cutoffs", "kth_smallest", "clip", "drop", "finite"]
+__all__ = ["Cutoffs", "cutoffs", "ranked", "kth_smallest", "clip", "drop", "finite"]

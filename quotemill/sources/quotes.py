@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 NUMBER = r"^(?=.{1,63}$)\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -39,23 +41,35 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return x.select(*lines.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in parsed.items()]))))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files as ``value``, each file's first line left out, in one read."""
+    return spark.read.schema("value string").options(header=True, sep="\u0001", quote="", enforceSchema=True, maxCharsPerColumn=-1).csv(path)
+
+
 def read_quotes(spark: SparkSession, folder: str, symbol: str, years: tuple[int, int] = (0, 0)) -> DataFrame:
     """Quotes of all ``symbol*.csv.gz`` files whose name carries a year within ``years`` (0: open).
 
     A gzip file is one task, and ``seq`` numbers its lines as read, so ``(file, seq)`` is arrival order.  The header line of each
-    file is dropped.
+    file is dropped.  Files are read once.
     """
     name = F.regexp_extract(F.col("_metadata.file_name"), rf"^{symbol}\D?(\d{{4}})", 1).try_cast("int")
-    raw = spark.read.option("recursiveFileLookup", "false").text(f"{folder}/{symbol}*.csv.gz").select("value", F.col("_metadata.file_name").alias("file"), name.alias("file_year"))
+    raw = _lines(spark, f"{folder}/{symbol}*.csv.gz").select("value", F.col("_metadata.file_name").alias("file"), name.alias("file_year"))
+    raw = raw.withColumn("seq", F.monotonically_increasing_id())
     lo, hi = years
     if lo:
         raw = raw.where(F.col("file_year") >= lo)
     if hi:
         raw = raw.where(F.col("file_year") <= hi)
-    raw = raw.withColumn("seq", F.monotonically_increasing_id())
-    first = raw.groupBy("file").agg(F.min("seq").alias("_head"))
-    body = raw.join(F.broadcast(first), "file").where(F.col("seq") > F.col("_head"))  # a row a file
-    return parse_lines(body).withColumn("symbol", F.lit(symbol)).drop("value", "_head")
+    return parse_lines(raw).withColumn("symbol", F.lit(symbol)).drop("value")
+
+
+def write_quotes(lines: DataFrame, folder: str, symbol: str, header: str = "date,time,ex,bid,bid_size,ask,ask_size,condition,more") -> None:
+    """Lines (``year``, ``day``, ``seq``, ``value``) as gzip files ``<symbol>_<year>_<n>.csv.gz``; a day's lines are in one file, in order."""
+    spark = lines.sparkSession
+    x = lines.withColumnRenamed("value", header).repartition("year", "day").sortWithinPartitions("year", "day", "seq")
+    x.select("year", header).write.partitionBy("year").options(header=True, sep="\u0001", quote="", compression="gzip", emptyValue="").csv(f"{folder}/parts")
+    for r in x.select("year").distinct().collect():  # a row a year
+        files.rename(spark, f"{folder}/parts/year={r['year']}", lambda k: f"{folder}/{symbol}_{r['year']}_{k}.csv.gz")  # noqa: B023
 
 
-__all__ = ["parse_lines", "read_quotes"]
+__all__ = ["parse_lines", "read_quotes", "write_quotes"]

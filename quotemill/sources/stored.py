@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +15,22 @@ from ..functions import timecols
 from ..operators.histogram import Model, with_tau_fallback
 from ..operators.nbbo import stamped
 from ..schema import DAILY, EVENTS, TRADES, require_columns
+from . import files
+
+
+def _by_year(x: DataFrame, order: str, day: str = "day"):
+    """A writer by symbol and year.  Tasks take whole days, so a year is written by as many as it has days at most, each in order."""
+    x = x.repartition("symbol", day).sortWithinPartitions("symbol", "year", order)
+    return (x.drop(day) if day == "_day" else x).write.mode("overwrite").partitionBy("symbol", "year")
 
 
 def write_nbbo(nbbo: DataFrame, out: str, cfg: NbboConfig) -> str:
     """``out/<mode>/symbol=/year=``, the year being each row's own; a log return that is not finite is null."""
     path = f"{out}/{cfg.mode}"
-    x = stamped(nbbo)
+    x = stamped(nbbo).withColumn("_day", timecols.ymd(F.col("ts")))
     lr = F.col("log_return")
     x = x.withColumn("log_return", F.when(~F.isnan(lr) & (F.abs(lr) != float("inf")), lr))
-    x.repartition("symbol", "year").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("symbol", "year").parquet(path)
+    _by_year(x, "ts", "_day").parquet(path)
     return path
 
 
@@ -41,7 +48,7 @@ def _within(x: DataFrame, years: tuple[int, int]) -> DataFrame:
 
 def write_events(events: DataFrame, out: str) -> None:
     x = events.withColumns({"ts": timecols.pack(F.col("day"), F.col("ms")), "date": F.col("day").cast("long"), "year": F.floor(F.col("day") / 10_000).cast("int")})
-    x.select("symbol", "year", *EVENTS.names).repartition("symbol", "year").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("symbol", "year").parquet(out)
+    _by_year(x.select("symbol", "year", *EVENTS.names), "ts", "date").parquet(out)
 
 
 def read_events(spark: SparkSession, path: str, years: tuple[int, int] = (0, 0), symbol: str | None = None) -> DataFrame:
@@ -56,16 +63,26 @@ def read_events(spark: SparkSession, path: str, years: tuple[int, int] = (0, 0),
     return _within(x, years)
 
 
-def materialised(df: DataFrame, folder: str, settings: object) -> DataFrame:
-    """A stage's result, stored under a hash of all its settings; an unfinished folder is never read."""
+def _kept(folder: str, settings: object) -> str:
     key = hashlib.sha256(json.dumps(asdict(settings), sort_keys=True, default=str).encode()).hexdigest()[:16]
-    path, spark = f"{folder}/{key}", df.sparkSession
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
-        df.write.mode("overwrite").parquet(path)
+    return f"{folder}/{key}"
+
+
+def materialised(df: DataFrame | Callable[[], DataFrame], folder: str, settings: object, spark: SparkSession | None = None) -> DataFrame:
+    """A stage's result, stored under a hash of all its settings; an unfinished folder is never read.
+
+    ``df`` may be a function, which is called only if nothing is stored: then the stage's sources need not be there.
+    """
+    path, spark = _kept(folder, settings), spark or df.sparkSession
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        (df() if callable(df) else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def is_stored(spark: SparkSession, folder: str, settings: object) -> bool:
+    return files.exists(spark, f"{_kept(folder, settings)}/_SUCCESS")
+
+
 def model_to_dict(model: Model) -> dict:
     rows = with_tau_fallback(model.cells).orderBy("cell").collect()  # the grid's cells
     names = ["b_imb", "b_spr", "b_age", "b_last", "n", "n_up", "n_down", "sum_tau_ms", "p_up", "p_down", "D", "mean_tau_ms"]
@@ -74,12 +91,12 @@ def model_to_dict(model: Model) -> dict:
 
 
 def write_model(model: Model, path: str) -> None:
-    Path(path).write_text(json.dumps(model_to_dict(model), indent=1))
+    files.write_text(model.cells.sparkSession, path, json.dumps(model_to_dict(model), indent=1))
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
     """Alpha, bins and counts of a stored model; scores are worked out again.  It must have every cell."""
-    data = json.loads(Path(path).read_text())
+    data = json.loads(files.read_text(spark, path))
     spec = BinSpec.from_dict(data)
     cells = data["cells"]
     if len(cells) != spec.cells:
@@ -95,12 +112,12 @@ def _digits(df: DataFrame) -> DataFrame:
 
 def write_trades(trades: DataFrame, out: str) -> None:
     x = _digits(trades.select("symbol", *TRADES.names)).withColumn("year", F.floor(F.col("day") / 10_000).cast("int"))
-    x.repartition("symbol", "year").sortWithinPartitions("ts_in").write.mode("overwrite").partitionBy("symbol", "year").option("header", True).csv(out)
+    _by_year(x, "ts_in").option("header", True).csv(out)
 
 
 def write_daily(daily: DataFrame, out: str) -> None:
     x = _digits(daily.select("symbol", "year", *DAILY))
-    x.repartition("symbol", "year").sortWithinPartitions("day").write.mode("overwrite").partitionBy("symbol", "year").option("header", True).csv(out)
+    _by_year(x, "day", "year").option("header", True).csv(out)  # a row a day
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
