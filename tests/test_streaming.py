@@ -27,11 +27,18 @@ def test_buckets(spark, tmp_path):
 
 def test_labels(spark, tmp_path):
     x = nbbo.with_log_return(nbbo.consolidate(tape(spark, random_tape(4, 300))))
-    for lo, hi in [(0, 36_000_300), (36_000_300, 99_000_000)]:
-        x.where(f"ms >= {lo} and ms < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    days = sorted(r.day for r in x.select("day").distinct().collect())
+    for day in days:
+        for lo, hi in [(0, 36_000_300), (36_000_300, 99_000_000)]:
+            x.where(f"day = {day} and ms >= {lo} and ms < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
     stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = _run(label_stream(stream, EventConfig(0.02)), tmp_path, "out")
-    cols = ["day", "ms", "mid", "mid_next", "imbalance", "age_diff_ms", "last_move", "y", "tau_ms"]
+    path = str(tmp_path / "out")
+    q = label_stream(stream, EventConfig(0.02)).writeStream.format("parquet").option("checkpointLocation", f"{path}.chk").trigger(availableNow=True).start(path)
+    q.awaitTermination(200)
+    out = spark.read.parquet(path)
+    cols = ["day", "ms", "mid", "mid_next", "spread", "imbalance", "age_diff_ms", "last_move", "y", "tau_ms"]
     want = events.label_events(x, EventConfig(0.02)).select(cols)
     assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, want.collect()))
+    # the state of a day goes once the watermark has passed the session's close
+    assert len(days) > 1 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
