@@ -67,9 +67,9 @@ def write_quotes(lines: DataFrame, folder: str, symbol: str, header: str = "date
     """Lines (``year``, ``day``, ``seq``, ``value``) as gzip files ``<symbol>_<year>_<n>.csv.gz``; a day's lines are in one file, in order."""
     spark = lines.sparkSession
     x = lines.withColumnRenamed("value", header).repartition("year", "day").sortWithinPartitions("year", "day", "seq")
-    x.select("year", header).write.partitionBy("year").options(header=True, sep="\u0001", quote="", compression="gzip", emptyValue="").csv(f"{folder}/parts")
+    x.select("year", header).write.partitionBy("year").options(header=True, sep="\u0001", quote="", compression="gzip", emptyValue="").csv(f"{folder}/parts-{symbol}")
     for r in x.select("year").distinct().collect():  # a row a year
-        files.rename(spark, f"{folder}/parts/year={r['year']}", lambda k: f"{folder}/{symbol}_{r['year']}_{k}.csv.gz")  # noqa: B023
+        files.rename(spark, f"{folder}/parts-{symbol}/year={r['year']}", lambda k: f"{folder}/{symbol}_{r['year']}_{k}.csv.gz")  # noqa: B023
 
 
 __all__ = ["parse_lines", "read_quotes", "write_quotes"]

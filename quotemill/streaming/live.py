@@ -52,15 +52,14 @@ class _Labeller:
             state.remove()  # the day is over: its pending event has no successor
             return
         s = list(state.get) if state.exists else [None] * 5 + [0.0] + [None] * 6
-        out = []
-        for pdf in frames:
-            if len(pdf):
-                out.append(self._rows(key, pdf.sort_values("ms", kind="stable"), s))
+        pdf = pd.concat(list(frames)).sort_values("ms", kind="stable")  # a day's rows of one batch
+        out = self._rows(key, pdf, s)
         state.update(tuple(int(v) if i in (0, 3, 4, 6) and v is not None else None if v is None else float(v) for i, v in enumerate(s)))
         day = pd.Timestamp(str(key[1]), tz="UTC")
         end = int(day.timestamp() * 1000) + max(self.close_ms, int(s[0] or 0) + 1)
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=EVENT_COLUMNS)
+        if len(out):
+            yield out
 
     def _rows(self, key: tuple, pdf: pd.DataFrame, s: list) -> pd.DataFrame:
         """The events labelled by a batch; ``s`` is moved on."""
