@@ -41,6 +41,10 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Shuffle files of a table go once it is written; should they be asked for again, Spark makes them anew.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Smaller Arrow batches for what is planned inside; the session's setting comes back afterwards."""
@@ -53,6 +57,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(_BATCH, old)
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it has ended."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
+
+
 def tidy() -> None:
     """Give memory that this Python worker no longer uses back to the system."""
     pa.default_memory_pool().release_unused()
@@ -77,7 +92,7 @@ def materialise(df: DataFrame, tag: str = "table", tasks: int | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
     schema = df.schema
-    with small_batches(spark):
+    with small_batches(spark), cleaned(spark):
         (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._quotemill_path = path
