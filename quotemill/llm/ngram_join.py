@@ -35,7 +35,7 @@ RARE_BITS, OFTEN_BITS = 1 << 26, 1 << 22
 OFTEN = 16
 PAIRS_PER_ROW = 16
 #: A block holds about so many tokens and sets, so a task that compares two of them has a bound whatever the sets' sizes.
-BLOCK_TOKENS, BLOCK_SETS = 200_000, 1500
+BLOCK_TOKENS, BLOCK_SETS = 200_000, 500
 FLUSH_TOKENS = 1 << 20
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -382,7 +382,8 @@ def ngram_join(
 
     Two documents link when 100 * intersection >= percent * union of their sets of word n-grams.  Texts without words
     (null, empty, blank) have no n-gram and link with nothing.  Rows of one id are one document that links by any of its
-    texts.  A row without an id links with nothing and has no component.  Other columns are not looked at.
+    texts; repeated rows are rows of one id.  A row without an id links with nothing and has no component.  Texts of any length are one
+    set.  An empty table gives no rows.  Other columns are not looked at.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     join = _Join(base, words_per_gram, percent, rare_bits, often_bits, often)
