@@ -159,7 +159,8 @@ def grace_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Contents are equal when identical after each run of white space became one space.  A null text counts as empty.  Of
     equal contents the row with the smallest id stays; of rows with the same id the first read.  A null id sorts after
-    all others.  Repeated rows each count in ``group_size``, exactly one stays.  Other columns are not looked at.
+    all others.  Repeated rows each count in ``group_size``, exactly one stays.  A content of any length is compared whole; one over
+    ``table_bytes`` has a table to itself.  Other columns are not looked at.  An empty table gives no rows.
 
     ``table_bytes`` bounds a bucket's table of distinct contents; more goes to spill files and another level.
     """

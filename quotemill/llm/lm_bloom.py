@@ -274,7 +274,7 @@ class Score:
             hit = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
             logs = np.where(hit, top_logs[at], 0.0) if len(top) else np.zeros(len(distinct))
             counts = model[0][1][np.searchsorted(model[0][0], distinct)]
-            p = ((counts + 0.1) / self.mass)[back]
+            p = np.minimum(1.0, (counts + 0.1) / self.mass)[back]  # a quantised count may be over the true one
             prior = counts[back]
             for n in range(2, ORDERS + 1):
                 keys, last = grams(h, bounds, n)
@@ -312,7 +312,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     Rows whose crc32 of the id as text is divisible by 10 are held out of the counts (a null id counts as empty text).
     A null text counts as empty: its one token is the end.  Repeated rows count and are scored each.  With no
-    training row every count is 0 and scores are those of the empty model.
+    training row every count is 0 and scores are those of the empty model.  Scores are never over 0.  A text longer than
+    ``CHUNK_BYTES`` is a chunk of its own, counted and scored whole.  An empty table gives no rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 10 == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))

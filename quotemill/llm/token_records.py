@@ -157,12 +157,15 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
-    """Encode every text (null: empty), append ``end_id`` and write record files in ascending id order (null ids first)."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = FILE_TEXT_BYTES) -> None:
+    """Encode every text (null: empty), append ``end_id`` and write record files in ascending id order (null ids first).
+
+    Of ``files`` files, or as many as give about ``file_bytes`` of text each.  Rows of one id share a file, in no given order.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if files is None:
         total = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(base.rdd.getNumPartitions() if total > FILE_TEXT_BYTES else 1, total // FILE_TEXT_BYTES + 1)
+        files = max(base.rdd.getNumPartitions() if total > file_bytes else 1, total // file_bytes + 1)
     ordered = base.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     records = ordered.mapInArrow(_encode(tokenizer, end_id), "record binary").select(F.col("record").cast("string").alias("value"))
     with small_batches(docs.sparkSession):
@@ -225,14 +228,15 @@ def record_report(index: DataFrame) -> DataFrame:
     return placed.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int = END_ID, out: str | None = None, files: int | None = None) -> DataFrame:
+def token_records(docs: DataFrame, tokenizer: str, end_id: int = END_ID, out: str | None = None, files: int | None = None, file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
     """Write records and index below ``out`` (a fresh shared folder if not given), read them back, report on each document.
 
-    Null or empty text: the end id alone.  Repeated rows each get a record.  An empty table gives no rows.
+    Null or empty text: the end id alone.  Repeated rows each get a record, next to each other in no given order.  A text of any length
+    is one record.  An empty table gives no rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     out = out or shared_dir(spark)
-    write_records(docs, f"{out}/records", tokenizer, end_id, files=files)
+    write_records(docs, f"{out}/records", tokenizer, end_id, files=files, file_bytes=file_bytes)
     return record_report(write_index(spark, f"{out}/records", f"{out}/index"))
 
 
