@@ -7,6 +7,9 @@ common prefix tokens under the second and third too; the survivors are verified
 
 * Classes come from counts over all documents, kept as two Bloom filters of fixed size.  A filter that says "maybe" too
   often moves tokens to another class: still one global order, so results never change, only the number of candidates.
+  That of frequent tokens holds the most frequent ones that it has room for, so the tokens of the largest groups come last
+  however large the corpus is.  A full filter of repeated tokens leaves tokens seen once among the prefixes, which costs
+  no more than to send the prefixes whole.
 * Tokens seen once never enter a candidate, so nothing is emitted for them.
 * Identical sets are one node.  A prefix token's group first links each member to one leader (the member with the fewest
   tokens of its own), which takes a pair per member.  Only members that are still in different components
@@ -31,8 +34,9 @@ from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_gr
 from .graph import components
 from .textkit import ngram_hashes, words
 
-RARE_BITS, OFTEN_BITS = 1 << 26, 1 << 22
-OFTEN = 16
+RARE_BITS, OFTEN_BITS = 1 << 26, 1 << 24
+#: A token of more sets than this is frequent, if it is among the most frequent ones with so many bits of the filter each.
+OFTEN, OFTEN_ENTRY = 16, 12
 PAIRS_PER_ROW = 16
 #: A block holds about so many tokens and sets, so a task that compares two of them has a bound whatever the sets' sizes.
 BLOCK_TOKENS, BLOCK_SETS = 200_000, 500
@@ -150,7 +154,10 @@ class TokenClasses:
         counts = np.bincount(back, np.concatenate([p[1] for p in parts]))
         keys = keys << np.uint64(24)
         twice, often = filters(self.buckets, self.rare_bits, self.often_bits)
-        return pd.DataFrame({"bucket": [bucket], "twice": [twice.segment_bytes(keys[counts > 1], bucket)], "often": [often.segment_bytes(keys[counts > self.often], bucket)]})
+        least, room = self.often, max(1, often.segment // OFTEN_ENTRY)
+        if (counts > least).sum() > room:
+            least = max(least, int(np.partition(counts, -room)[-room]))
+        return pd.DataFrame({"bucket": [bucket], "twice": [twice.segment_bytes(keys[counts > 1], bucket)], "often": [often.segment_bytes(keys[counts > least], bucket)]})
 
 
 def filters(buckets: int, rare_bits: int, often_bits: int) -> tuple[SegmentedBloom, SegmentedBloom]:

@@ -51,6 +51,23 @@ def test_key_blocks_round_trip():
     assert got == list(zip(k.tolist(), c.tolist(), strict=True))
 
 
+def test_frequent_tokens_that_a_filter_has_room_for():
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    toks = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    many = np.repeat(toks, rng.integers(1, 200, len(toks)))
+    blob = next(ngram_join.TokenKeys(1)(iter([pa.RecordBatch.from_arrays([pa.array([many.tobytes()], pa.binary())], ["tokens"])]))).column(1)[0].as_py()
+    _, counts = np.unique(many, return_counts=True)
+    for bits, held in ((1 << 16, (counts > 16).sum()), (1 << 12, (1 << 12) // ngram_join.OFTEN_ENTRY)):
+        out = ngram_join.TokenClasses(1, 1 << 18, bits, 16)(pd.DataFrame({"bucket": [0], "keys": [blob]}))
+        often = ngram_join.filters(1, 1 << 18, bits)[1]
+        often.place(0, out["often"].iloc[0])
+        hit = often.contains(toks >> np.uint64(24) << np.uint64(24))
+        assert 0.9 * held <= hit.sum() <= 1.2 * held + 40 and hit[np.argsort(counts)[-int(0.8 * held) :]].all()
+
+
 @pytest.mark.parametrize("often,per_row,n,percent", [(16, 16, 4, 85), (2, 0, 4, 85), (1, 0, 5, 80)])
 def test_join(spark, monkeypatch, often, per_row, n, percent):
     """With ``per_row`` 0 every group that the stars leave apart goes through blocks."""
