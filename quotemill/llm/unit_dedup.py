@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, few_tasks, materialise, mix64, small_batches
+from .common import by_batch, discard, few_tasks, materialise, mix64, small_batches
 from .textkit import Words, ngram_hashes, words
 
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 20
@@ -150,30 +150,37 @@ def _repeated(table: DataFrame, order: list[str], tasks: int) -> DataFrame:
     return materialise(groups.select("d1", "d2", "first"), "repeated", tasks)
 
 
-def _passages(base: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
-    """Repeated passages of every row by their words, found from anchors."""
+def _anchored(found: DataFrame, tasks: int) -> DataFrame:
+    """Repeated anchors: text_key, row, word, and the ``first`` text that has each."""
     groups = _repeated(found, ["doc_id", "row", "word", "text_key"], tasks)
     again = found.select("d1", "d2", "text_key", "row", "word").join(groups, ["d1", "d2"]).where("text_key <> first.text_key")
     again = materialise(again.select("text_key", "row", "word", "first"), "anchors", tasks)
+    discard(groups)
+    return again
+
+
+def _passages(base: DataFrame, again: DataFrame, tasks: int) -> DataFrame:
+    """Repeated passages of every row by their words, found from anchors."""
     seeds = F.collect_set(F.struct("word", F.col("first.word").alias("other"))).alias("seeds")
     pairs = again.groupBy("text_key", F.col("first.text_key").alias("other_key")).agg(F.min("first.doc_id").alias("keep"), seeds)
     wanted = again.select(F.explode(F.array("text_key", "first.text_key")).alias("text_key")).distinct()
-    texts = materialise(base.select("text_key", "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(base.select("text_key", "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts", tasks)
     others = texts.select(F.col("text_key").alias("other_key"), F.col("text").alias("other"))
     both = pairs.join(texts, "text_key").join(others, "other_key").select("text_key", "keep", "seeds", "text", "other")
     with small_batches(base.sparkSession, PAIR_ROWS):
         passages = materialise(both.mapInArrow(by_batch(Passages()), Passages.schema), "passages", tasks)
+    discard(texts)
     return again.select("text_key", "row").distinct().join(passages, "text_key").drop("text_key")
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
     """The spans, and all rows with words by their number, id and text."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    few, many = few_tasks(docs), few_tasks(docs, 1)
+    tasks = few_tasks(docs, 1)
     table = materialise(base.mapInArrow(by_batch(Units()), Units.schema), "units")
-    rows = table.where("unit = 0").select("row", "doc_id", "text_key")
+    rows = materialise(table.where("unit = 0").select("row", "doc_id", "text_key"), "rows", tasks)
     all_units = table.where("unit >= 0")
-    groups = _repeated(all_units, ["doc_id", "row", "unit"], many)
+    groups = _repeated(all_units, ["doc_id", "row", "unit"], tasks)
     found = all_units.select("d1", "d2", "row", "unit", "words", "word", "start", "end").join(groups, ["d1", "d2"])
     again = found.where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit"))).select("row", "unit", "words", "word", "start", "end", F.col("first.doc_id").alias("keep"))
     again = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit")))
@@ -181,8 +188,11 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "keep")).alias("kept"), F.min("word").alias("word")
     )
     runs = runs.where(F.col("n_words") >= min_words)
-    runs = runs.select("row", "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", "n_units", F.col("kept.keep").alias("keep"))
-    more = _passages(base, table.where("unit < 0"), few).select("row", "word", F.col("to").cast("long").alias("to"), "start", "end", F.lit(0).cast("long").alias("n_units"), "keep")
+    runs = materialise(runs.select("row", "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", "n_units", F.col("kept.keep").alias("keep")), "runs", tasks)
+    discard(groups)
+    anchored = _anchored(table.where("unit < 0"), tasks)
+    discard(table)
+    more = _passages(base, anchored, tasks).select("row", "word", F.col("to").cast("long").alias("to"), "start", "end", F.lit(0).cast("long").alias("n_units"), "keep")
     # spans that touch become one
     of_row = Window.partitionBy("row").orderBy("word", "to", "n_units", "keep")
     apart = (F.col("word") > F.coalesce(F.max("to").over(of_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
