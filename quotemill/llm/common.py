@@ -87,13 +87,13 @@ def few_tasks(df: DataFrame, share: int = 8) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // share)
 
 
-def materialise(df: DataFrame, tag: str = "table", tasks: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str = "table", tasks: int | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to shared storage, by at most so many tasks, and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
     schema = df.schema
     with small_batches(spark), cleaned(spark):
-        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.parquet(path, compression=compression)
     out = spark.read.schema(schema).parquet(path)
     out._quotemill_path = path
     return out

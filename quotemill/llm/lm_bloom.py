@@ -8,7 +8,7 @@ The filter's bits follow the number of its entries, without a ceiling, and it is
 range of hashes.  Texts are packed into chunks, the distinct n-grams of a chunk go to their segment, which answers with their levels, and
 the answers meet the chunk's texts again.
 
-Base scores are exact: the counts of the ``TOP_WORDS`` commonest words go to every task, all other words are looked up by a join.
+Base scores are exact: the counts of at most ``TOP_WORDS`` of the commonest words go to every task, all other words are looked up by a join.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ HASHES = 2
 ORDERS = 3
 STRENGTH = (0.0, 0.0, 300.0, 100.0)
 TOP_WORDS = 1 << 18
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 8
-BUCKET_BYTES = 1 << 25
+#: Text bytes whose n-grams fall into a bucket, and the fewest and most buckets.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 24, 256, 1 << 16
 END = np.uint64(0xE5A9D1C37B2F8604)
 LEVEL_STEP = 0xC2B2AE3D27D4EB4F
 
@@ -233,9 +234,12 @@ def probe(bloom: SegmentedBloom, keys: np.ndarray, most: int = 63) -> np.ndarray
     return found
 
 
+_COUNTS = np.array([0.0, 1.0, *(1.4 * 2.0 ** (level - 1) for level in range(2, 64))])
+
+
 def quantised(found: np.ndarray) -> np.ndarray:
     """A level stands for counts 2**(l-1) .. 2**l - 1."""
-    return np.where(found > 1, 1.4 * 2.0 ** (found.astype(np.float64) - 1), found * 1.0)
+    return _COUNTS[np.minimum(found, len(_COUNTS) - 1)]
 
 
 def lookup(bloom: SegmentedBloom, keys: np.ndarray, most: int = 63) -> np.ndarray:
@@ -260,7 +264,7 @@ class Score:
         for side, at in enumerate(sides(held)):
             if len(at):
                 own = texts.take(pa.array(at))
-                model = [(k, quantised(of_kind[3 * side + n])) for n, (k, _) in enumerate(distinct_grams(own))]
+                model = [(k, of_kind[3 * side + n]) for n, (k, _) in enumerate(distinct_grams(own))]
                 out += self._scored(own, model, chunk + at, ids.take(pa.array(at)), held.take(pa.array(at)))
         return pa.Table.from_batches(out)
 
@@ -273,12 +277,12 @@ class Score:
             at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
             hit = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
             logs = np.where(hit, top_logs[at], 0.0) if len(top) else np.zeros(len(distinct))
-            counts = model[0][1][np.searchsorted(model[0][0], distinct)]
+            counts = quantised(model[0][1][np.searchsorted(model[0][0], distinct)])
             p = np.minimum(1.0, (counts + 0.1) / self.mass)[back]  # a quantised count may be over the true one
             prior = counts[back]
             for n in range(2, ORDERS + 1):
                 keys, last = grams(h, bounds, n)
-                found = model[n - 1][1][np.searchsorted(model[n - 1][0], keys >> np.uint64(24))]
+                found = quantised(model[n - 1][1][np.searchsorted(model[n - 1][0], keys >> np.uint64(24))])
                 history = np.maximum(prior[last - 1], found)
                 p[last] = (found + STRENGTH[n] * p[last]) / (history + STRENGTH[n])
                 prior = np.zeros(len(h))
@@ -295,6 +299,19 @@ class Score:
             yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
 
+def _commonest(vocabulary: DataFrame, most: int) -> DataFrame:
+    """At most so many of the commonest words: those above a count, found from the numbers of words by count in steps."""
+    step = F.floor(8 * F.log2("count")).cast("int")
+    sizes = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # a few hundred rows
+    least, total = 1 << 30, 0
+    for r in sorted(sizes, reverse=True):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    return vocabulary.where(step >= least)
+
+
 def by_chunk(f):
     """A callable object as the two-argument function that ``applyInArrow`` asks for."""
 
@@ -317,18 +334,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % 10 == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    buckets = buckets_for(docs)
+    buckets = buckets_for(docs, LEAST_BUCKETS)
     octets = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    while buckets * BUCKET_BYTES < octets and buckets < 1 << 16:
+    while buckets * BUCKET_BYTES < octets and buckets < MOST_BUCKETS:
         buckets *= 2
-    packed = materialise(base.mapInArrow(by_batch(Pack()), Pack.schema), "packed")
+    packed = materialise(base.mapInArrow(by_batch(Pack()), Pack.schema), "packed", compression="zstd")
     with small_batches(spark, CHUNK_ROWS):
         counts = packed.select("chunk", "held", "texts").mapInArrow(by_batch(Counts(buckets)), Counts.schema)
         reduced = materialise(counts.groupBy("bucket").applyInPandas(by_group(Segment(buckets)), Segment.schema).drop("segment"), "counts")
     model = reduced.where("chunk < 0")
     n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     vocabulary = model.select("hashes", "counts").mapInArrow(by_batch(_word_rows), "hash long, count long")
-    top = vocabulary.orderBy(F.desc("count"), "hash").limit(top_words).toPandas()
+    top = _commonest(vocabulary, top_words).toPandas()
     keys = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], top["count"].to_numpy(np.int64)[order]))
