@@ -46,13 +46,16 @@ def tokens(texts: pa.Array, limit: int = 512 << 10) -> Iterator[tuple[int, np.nd
         yield w.first, h, w.bounds + np.arange(len(w.bounds))
 
 
+def last_words(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the last tokens of all n-grams that stay within a document."""
+    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1])
+    return np.flatnonzero(room >= n) + n - 1
+
+
 def grams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams that stay within a document, and the positions of their last tokens."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(h))
-    at = np.flatnonzero(room[: len(h) - n + 1] >= n)
-    return ngram_hashes(h, n)[at], at + n - 1
+    last = last_words(bounds, n)
+    return ngram_hashes(h, n)[last - n + 1], last
 
 
 class Pack:
@@ -85,14 +88,19 @@ class Pack:
         return pa.RecordBatch.from_arrays([pa.array([row]), *cols], ["chunk", "ids", "held", "texts"])
 
 
-def distinct_grams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted (keys, counts) of the texts' words, as hashes, and of their pairs and triples, as 40-bit keys."""
+def chunk_grams(texts: pa.Array) -> list[np.ndarray]:
+    """The texts' words, as hashes, and their pairs and triples, as 40-bit keys, each in the order of the texts."""
     held: list[list] = [[np.zeros(0, np.uint64)] for _ in range(ORDERS)]
     for _, h, bounds in tokens(texts):
         held[0].append(h)
         for n in range(2, ORDERS + 1):
             held[n - 1].append(grams(h, bounds, n)[0] >> np.uint64(24))
-    return [np.unique(np.concatenate(x), return_counts=True) for x in held]
+    return [np.concatenate(x) for x in held]
+
+
+def distinct_grams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (keys, counts) of the texts' n-grams."""
+    return [np.unique(x, return_counts=True) for x in chunk_grams(texts)]
 
 
 def sides(held: pa.Array) -> list[np.ndarray]:
@@ -209,15 +217,15 @@ class Segment:
         out = pd.DataFrame({"chunk": [-1], "kind": [-1], "bucket": [bucket], "levels": [b""], "hashes": [hashes.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(counts)], "segment": [segment]})
         if "chunk" not in pdf:
             return out
-        of_longer = probe(bloom, keys, level - 1)[back]
-        answers, at = [], 0
+        single = [np.frombuffer(x, np.uint64) for x in pdf["keys"][kind % 3 == 0]]
+        own, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *single]), return_inverse=True)
+        given = {True: probe(bloom, keys, level - 1)[back], False: probe(bloom, own, level - 1)[where]}
+        answers, at = [], {True: 0, False: 0}
         for k, blob in zip(kind, pdf["keys"], strict=True):
-            if k % 3:
-                n = int(np.frombuffer(blob, np.uint32, 1)[0])
-                answers.append(of_longer[at : at + n].tobytes())
-                at += n
-            else:
-                answers.append(probe(bloom, np.frombuffer(blob, np.uint64), level - 1).tobytes())
+            longer = bool(k % 3)
+            n = int(np.frombuffer(blob, np.uint32, 1)[0]) if longer else len(blob) // 8
+            answers.append(given[longer][at[longer] : at[longer] + n].tobytes())
+            at[longer] += n
         asked = pd.DataFrame({"chunk": pdf["chunk"], "kind": kind, "bucket": bucket, "levels": answers, "hashes": b"", "counts": b"", "n": 0, "v": 0, "segment": b""})
         return pd.concat([out, asked], ignore_index=True)
 
@@ -264,29 +272,33 @@ class Score:
         for side, at in enumerate(sides(held)):
             if len(at):
                 own = texts.take(pa.array(at))
-                model = [(k, of_kind[3 * side + n]) for n, (k, _) in enumerate(distinct_grams(own))]
-                out += self._scored(own, model, chunk + at, ids.take(pa.array(at)), held.take(pa.array(at)))
+                # The answers are in the order of the sorted keys, which the inverse turns into that of the texts.
+                found = [of_kind[3 * side + n][np.unique(x, return_inverse=True)[1]] if len(x) else x.astype(np.uint8) for n, x in enumerate(chunk_grams(own))]
+                out += self._scored(own, found, chunk + at, ids.take(pa.array(at)), held.take(pa.array(at)))
         return pa.Table.from_batches(out)
 
-    def _scored(self, texts: pa.Array, model: list, rows: np.ndarray, ids: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
+    def _scored(self, texts: pa.Array, found: list[np.ndarray], rows: np.ndarray, ids: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
         top, top_counts = self.shared.value
         top_logs = np.log10((top_counts + 0.1) / self.mass)
+        used = [0] * ORDERS
         for first, h, bounds in tokens(texts):
             count = len(bounds) - 1
+            counts = quantised(found[0][used[0] : used[0] + len(h)])
+            used[0] += len(h)
             distinct, back = np.unique(h, return_inverse=True)
             at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
             hit = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
             logs = np.where(hit, top_logs[at], 0.0) if len(top) else np.zeros(len(distinct))
-            counts = quantised(model[0][1][np.searchsorted(model[0][0], distinct)])
-            p = np.minimum(1.0, (counts + 0.1) / self.mass)[back]  # a quantised count may be over the true one
-            prior = counts[back]
+            p = np.minimum(1.0, (counts + 0.1) / self.mass)  # a quantised count may be over the true one
+            prior = counts
             for n in range(2, ORDERS + 1):
-                keys, last = grams(h, bounds, n)
-                found = quantised(model[n - 1][1][np.searchsorted(model[n - 1][0], keys >> np.uint64(24))])
-                history = np.maximum(prior[last - 1], found)
-                p[last] = (found + STRENGTH[n] * p[last]) / (history + STRENGTH[n])
+                last = last_words(bounds, n)
+                counts = quantised(found[n - 1][used[n - 1] : used[n - 1] + len(last)])
+                used[n - 1] += len(last)
+                history = np.maximum(prior[last - 1], counts)
+                p[last] = (counts + STRENGTH[n] * p[last]) / (history + STRENGTH[n])
                 prior = np.zeros(len(h))
-                prior[last] = found
+                prior[last] = counts
             cut = bounds[:-1]
             sums = lambda x: np.add.reduceat(x, cut)  # noqa: B023, E731
             rare = ~hit[back]
