@@ -160,13 +160,16 @@ def _encode(path: str, end_id: int):
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = FILE_TEXT_BYTES) -> None:
     """Encode every text (null: empty), append ``end_id`` and write record files in ascending id order (null ids first).
 
-    Of ``files`` files, or as many as give about ``file_bytes`` of text each.  Rows of one id share a file, in no given order.
+    Of ``files`` files, or as many as give about ``file_bytes`` of text each.  Rows of one id come in no given order, in one file or
+    in several in a row.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if files is None:
         total = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(base.rdd.getNumPartitions() if total > file_bytes else 1, total // file_bytes + 1)
-    ordered = base.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # The second key deals a repeated id out to several files; ids still ascend from file to file.
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = base.withColumn("_part", F.rand(7)).repartitionByRange(files, first, "_part").sortWithinPartitions(first, "_part").drop("_part")
     records = ordered.mapInArrow(_encode(tokenizer, end_id), "record binary").select(F.col("record").cast("string").alias("value"))
     with small_batches(docs.sparkSession):
         records.write.option("lineSep", "\n").text(path)

@@ -128,6 +128,8 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (1000, 1001, 1003)] == ["und"] * 3 and got[1000].score == 0 and got[None].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values())
     odd = rows + rows[:3] + [(None, "", None), (None, "karkar tolmin sahsah minkar", None)]
+    alike = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict_language(fx.frame(spark, odd)).collect() if r.doc_id in {x[0] for x in rows[:3]}]
+    assert len(alike) == 6 and len(set(alike)) == 3
     kept = langid.keep_placed(fx.frame(spark, odd))
     assert kept.columns == fx.frame(spark, odd).columns
     left = [(r.doc_id, r.text) for r in kept.collect()]
