@@ -32,9 +32,6 @@ SAMPLE_ROWS, SAMPLE_TOTAL, MOST_LABELS = 400, 4096, 1024
 FRAGMENTS = (1, 2, 4, 8, 16)
 LANDMARKS = 128
 RIDGE = 0.05
-#: A text is placed if a label's classifier gives it a score over this.  Of rows held out of the fit this leaves out none of 12,700 of the
-#: check tool's small table, and of texts of scripts and letters never seen nearly all.
-PLACED = 0.4
 UNDETERMINED = "und"
 SLICE = 256 << 10
 SEEN_BYTES = 32 << 20
@@ -101,8 +98,16 @@ class Model:
             seen[i, col[col >= 0]] = 1
         return self._kernel(seen)
 
-    def scores(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        return self.kernel(data, cuts) @ self.root @ self.weights[:-1] + self.weights[-1]
+    def best(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best label of each text and its score; a text without any n-gram of the landmarks scores 0."""
+        k = self.kernel(data, cuts)
+        s = k @ self.root @ self.weights[:-1] + self.weights[-1]
+        return s.argmax(1), np.where(k.any(1), np.clip((1 + s.max(1)) / 2, 0, 1), 0.0)
+
+    @property
+    def least(self) -> float:
+        """What the best label has before any n-gram is seen: a text that scores less has nothing in favour of any label."""
+        return float(np.clip((1 + self.weights[-1].max()) / 2, 0, 1)) - 1e-6
 
     @property
     def block_rows(self) -> int:
@@ -233,8 +238,7 @@ class Predict:
                     part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                     best, top = np.zeros(j - i, int), np.zeros(j - i)
                     if model is not None:
-                        s = model.scores(part, cuts)
-                        best, top = s.argmax(1), np.clip((1 + s.max(1)) / 2, 0, 1)
+                        best, top = model.best(part, cuts)
                     for k in range(j - i):
                         ok = model is not None and has_letter(part[cuts[k] : cuts[k + 1]])
                         labels.append(model.labels[best[k]] if ok else UNDETERMINED)
@@ -277,7 +281,7 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows whose crc32 of the id as text leaves 2 modulo 4 are held out (a null id counts as empty text).  Predictions see
     the whole text alone; a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing
-    can be learned (no labelled training row).  Repeated rows get equal predictions; of labels with equal scores the first by name
+    can be learned (no labelled training row).  A text without any n-gram of the landmarks scores 0.  Repeated rows get equal predictions; of labels with equal scores the first by name
     counts.  A text of any length is worked off in slices, beside its folded bytes.  Other columns are not looked at.  An empty
     table gives no rows.  More than ``MOST_LABELS`` labels are an error.
     """
@@ -285,10 +289,10 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return base.select("doc_id", "held_out", "text").mapInArrow(by_batch(Predict(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, placed: float = PLACED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is told: ``lang_pred`` is a label and its score over ``placed``.
+def keep_placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, placed: float | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told: ``lang_pred`` is a label and its score ``placed`` or more.
 
-    A row goes if all labels' classifiers are against its text, whatever its own label says.  Where nothing can be learned,
+    By default that is what the best label has before any n-gram is seen, so a row goes if its text has nothing in favour of any label, whatever its own label says; of 256,410 rows of the check tool's large table fewer than 10 do.  Where nothing can be learned,
     all texts with a letter stay.  Repeated rows stay or go together, null ids are ids like others.  Only ids and hashes of the
     texts of rows that go are exchanged; their table is broadcast only if counted as small.
     """
@@ -297,6 +301,6 @@ def keep_placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     key = F.xxhash64(F.col(text_col).cast("string"))
     seen = base.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(by_batch(Predict(shared)), "doc_id long, key long, lang_pred string, score double")
-    gone = materialise(seen.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") <= placed)).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "unplaced", few_tasks(docs))
+    gone = materialise(seen.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < (shared.value.least if placed is None else placed))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "unplaced", few_tasks(docs))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (key == F.col("_gone_key")), "left_anti")

@@ -135,6 +135,8 @@ def test_language(spark):
     left = [(r.doc_id, r.text) for r in kept.collect()]
     assert {1000, 1001, 1003}.isdisjoint(i for i, _ in left) and len(left) >= 0.99 * (len(odd) - 4)
     assert langid.keep_placed(fx.frame(spark, odd), placed=2.0).count() == 0
+    one = [(i, "Ein Satz aus Worten", "de") for i in range(9)] + [(20, "文字文字", None), (21, "Worten", None)]
+    assert {r.doc_id for r in langid.keep_placed(fx.frame(spark, one)).collect()} == {*range(9), 21}
     assert sum(i in {r[0] for r in rows[:3]} for i, _ in left) == 6 and (None, "karkar tolmin sahsah minkar") in left
     # without any label that could be learned, all texts with a letter stay
     bare = [(i, t, None) for i, t, *_ in odd]
