@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import AgeBin, BinSpec, EdgeMode, EventConfig, NbboConfig, StrategyConfig
 from ..functions import bins, timecols
 from ..operators import denoise, events, histogram, nbbo, pnl, quotes, strategy, winsor
+from ..sources.files import written
 from ..sources.quotes import parse_lines
 from .pipeline import build_nbbo
 from .tape import BUCKET_MS, quote_tape, tape_lines, tape_sql
@@ -187,14 +188,14 @@ cut AS (SELECT max(log_return) FILTER (k = floor({QUANTILES[0]}::DOUBLE * n)) AS
 
 @query(f"WITH {BASE}{CUT} SELECT round(lo, 10) AS lo, round(hi, 10) AS hi, n FROM cut")
 def winsor_cutoffs(spark, sf_dir):
-    c = winsor.cutoffs(_nbbo(spark, sf_dir), *QUANTILES)
+    c = winsor.cutoffs(written(_nbbo(spark, sf_dir)), *QUANTILES)
     return spark.createDataFrame([(c.lo, c.hi, c.n)], "lo double, hi double, n long").select(r("lo"), r("hi"), "n")
 
 
 @query(f"WITH {BASE}{CUT} SELECT round(lo, 10) AS lo, round(hi, 10) AS hi FROM cut")
 def winsor_cutoffs_refined(spark, sf_dir):
-    """The same cutoffs by refining counts, as used for ranks far from both ends."""
-    x = _nbbo(spark, sf_dir)
+    """The same cutoffs by their ranks, one after the other."""
+    x = written(_nbbo(spark, sf_dir))
     n = x.where(winsor.finite()).count()
     c = [winsor.kth_smallest(x, "log_return", int(q * n)) for q in QUANTILES]
     return spark.createDataFrame([tuple(c)], "lo double, hi double").select(r("lo"), r("hi"))
@@ -381,14 +382,14 @@ def custom_strategy(spark, sf_dir):
     return x.select("ts_in", "day", "side", r("net_ret"))
 
 
-@query(f"""WITH {tape_sql()}, t AS (SELECT seq, {_pack('tod_ms')} AS ts FROM tape)
+@query(f"""WITH {tape_sql()}, t AS (SELECT seq, {_pack('tod_ms')} AS ts FROM tape), u AS (SELECT *, CAST(strftime(strptime(ts::VARCHAR, '%Y%m%d%H%M%S%g') + INTERVAL 40000000 MILLISECOND, '%Y%m%d%H%M%S%g') AS BIGINT) AS soon FROM t)
 SELECT seq, ts, ts // 1000000000 AS ymd, CAST(ts // 10000000000000 AS INTEGER) AS year, CAST(ts // 10000000 % 100 AS INTEGER) AS hh, CAST(ts // 100000 % 100 AS INTEGER) AS mm, CAST(ts // 1000 % 100 AS INTEGER) AS ss, CAST(ts % 1000 AS INTEGER) AS ms,
 CAST((ts // 10000000 % 100) * 3600000 + (ts // 100000 % 100) * 60000 + ts % 100000 AS INTEGER) AS ms_of_day, strftime(strptime((ts // 1000000000)::VARCHAR, '%Y%m%d'), '%Y-%m-%d') AS day_text,
-CAST(strftime(strptime(ts::VARCHAR, '%Y%m%d%H%M%S%g') + INTERVAL 86399999 MILLISECOND, '%Y%m%d%H%M%S%g') AS BIGINT) AS later FROM t""")
+CAST(strftime(strptime(ts::VARCHAR, '%Y%m%d%H%M%S%g') + INTERVAL 86399999 MILLISECOND, '%Y%m%d%H%M%S%g') AS BIGINT) AS later, ts // 1000000000 = soon // 1000000000 AS same_day FROM u""")
 def ts_parts(spark, sf_dir):
     ts = F.col("ts")
     x = quote_tape(spark, sf_dir).select("seq", timecols.pack(F.col("day"), F.col("tod_ms")).alias("ts"))
     return x.select(
         "seq", "ts", timecols.ymd(ts).alias("ymd"), timecols.year(ts).alias("year"), timecols.hour(ts).alias("hh"), timecols.minute(ts).alias("mm"), timecols.second(ts).alias("ss"),
-        timecols.milli(ts).alias("ms"), timecols.ms_of_day(ts).alias("ms_of_day"), timecols.day_text(timecols.ymd(ts)).alias("day_text"), timecols.add_ms(ts, 86_399_999).alias("later"),
+        timecols.milli(ts).alias("ms"), timecols.ms_of_day(ts).alias("ms_of_day"), timecols.day_text(timecols.ymd(ts)).alias("day_text"), timecols.add_ms(ts, 86_399_999).alias("later"), timecols.same_day(ts, timecols.add_ms(ts, 40_000_000)).alias("same_day"),
     )
