@@ -83,8 +83,15 @@ def tidied(batches: Iterator) -> Iterator:
 
 
 def few_tasks(df: DataFrame, share: int = 8) -> int:
-    """How many tasks are to write a table that is much smaller than ``df``: a file each, not one for every partition of an exchange."""
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // share)
+    """How many tasks are to write a table that is much smaller than ``df``: a file each, not one for every partition of an exchange.
+
+    It follows the size of what ``df`` reads, by as many bytes as a scan gives to a task.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    scans = size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(2 * spark.sparkContext.defaultParallelism, min(scans // share, 1 << 20))
 
 
 def materialise(df: DataFrame, tag: str = "table", tasks: int | None = None, compression: str = "snappy") -> DataFrame:

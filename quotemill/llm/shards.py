@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few_tasks, materialise
 
 KEY_BITS = 60
 #: Directories up to this many cells are broadcast: 1 Mi rows of 24 bytes.
@@ -24,25 +24,23 @@ def key_hash(col: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _directory(rows: DataFrame, bits: int, step: int, limit: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """From (cell, bytes) at ``bits`` deep: (cell, shard, depth) of those placed, and the cells that need more bits.
+def _directory(rows: DataFrame, bits: int, limit: int, tasks: int) -> DataFrame:
+    """(cell, depth, prefix, shard_bytes) of the cells of (cell, bytes) at ``bits`` deep that fit the limit.
 
-    Prefixes down to ``bits - step`` are known to be too large, or it is the first step.
+    A shard is a prefix that fits while its parent does not, so no shard is a prefix of another, and a cell is looked up at the depths
+    that shards have.
     """
-    low = max(0, bits - step)
-    depths = F.explode(F.sequence(F.lit(low), F.lit(bits)))
-    tree = rows.select("cell", "bytes", depths.alias("depth"))
-    prefix = F.expr(f"shiftright(cell, {bits} - depth)")
-    sums = tree.groupBy("depth", prefix.alias("prefix")).agg(F.sum("bytes").alias("total"))
-    fits = sums.where(F.col("total") <= limit)
-    owner = (
-        tree.select("cell", "depth", prefix.alias("prefix"))
-        .join(fits, ["depth", "prefix"])
-        .groupBy("cell")
-        .agg(F.min(F.struct("depth", "prefix", "total")).alias("own"))
-    )
-    placed = owner.select("cell", F.col("own.depth").alias("depth"), F.col("own.prefix").alias("prefix"), F.col("own.total").alias("shard_bytes"))
-    return placed, rows.join(placed, "cell", "left_anti")
+    tree = rows.select("bytes", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"), "cell")
+    sums = tree.groupBy("depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"))
+    fits = materialise(sums.where(F.col("shard_bytes") <= limit), "fits", tasks)
+    parents = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    shards = materialise(fits.join(parents, ["depth", "prefix"], "left_anti"), "shards", tasks)
+    n, least, most = shards.agg(F.count("*"), F.min("depth"), F.max("depth")).first()
+    if not n:
+        return rows.select("cell", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.col("bytes").alias("shard_bytes")).limit(0)
+    cells = rows.select("cell", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("depth"))
+    cells = cells.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
+    return cells.join(_sized(shards, n), ["depth", "prefix"]).select("cell", "depth", "prefix", "shard_bytes")
 
 
 def extendible_shards(
@@ -61,10 +59,11 @@ def extendible_shards(
     h = key_hash(F.col(key_col))
     total = docs.select(F.sum(size)).first()[0] or 0
     bits = min(KEY_BITS, max(0, (max(1, -(-total // limit_bytes)) - 1).bit_length()) + 4)
-    step = bits
     cell = F.shiftrightunsigned(h, KEY_BITS - bits) if bits else F.lit(0).cast("long")
-    rows = docs.select(cell.alias("cell"), size.alias("bytes")).groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    placed, rest = _directory(rows.select("cell", "bytes"), bits, step, limit_bytes, bits)
+    tasks = few_tasks(docs)
+    rows = materialise(docs.select(cell.alias("cell"), size.alias("bytes")).groupBy("cell").agg(F.sum("bytes").alias("bytes")), "cells", tasks)
+    placed = _directory(rows, bits, limit_bytes, tasks)
+    rest = rows.where(F.col("bytes") > limit_bytes)
     directory = placed.select("cell", F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), 64, "0").alias("code"), "depth", "shard_bytes")
     directory = directory.select("cell", F.expr("right(code, depth)").alias("shard"), F.col("depth").alias("shard_depth"), "shard_bytes")
     over = rest.count()

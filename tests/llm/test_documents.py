@@ -206,6 +206,8 @@ def test_lm(spark, top):
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:4] == w[:4] and g[4] == n and abs(g[5] - w[4]) < 1e-9 * max(1, abs(w[4])) and g[6] < 0
     assert lm_bloom.lm_scores(fx.frame(spark, [])).count() == 0
+    alone = lm_bloom.lm_scores(fx.frame(spark, [(i, "" if i % 2 else None) for i in range(40)])).collect()
+    assert all(r.score <= 0 and r.n_tokens == r.n_known == 1 for r in alone)
 
 
 def test_filter_holds_levels():
