@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_group, discard, few_tasks, materialise, mix64, small_batches
+from .common import BROADCAST_ROWS, SegmentedBloom, buckets_for, by_batch, by_group, cleaned, discard, few_tasks, materialise, mix64, small_batches
 from .graph import components
 from .textkit import ngram_hashes, words
 
@@ -297,10 +297,12 @@ class _Join:
         self.sets = materialise(docs.mapInArrow(by_batch(Sets(n)), Sets.schema), "sets")
         known = self.sets.where("digest is not null and doc_id is not null")
         self.classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes", self.tasks)
-        buckets = buckets_for(self.sets)
-        counted = self.sets.select("tokens").where("tokens is not null").mapInArrow(by_batch(TokenKeys(buckets)), TokenKeys.schema)
+        buckets = buckets_for(self.sets, 256)
         twice, often_f = filters(buckets, rare_bits, often_bits)
-        for r in counted.groupBy("bucket").applyInPandas(by_group(TokenClasses(buckets, rare_bits, often_bits, often)), TokenClasses.schema).collect():  # the filters' own bits
+        with cleaned(self.spark):
+            counted = self.sets.select("tokens").where("tokens is not null").mapInArrow(by_batch(TokenKeys(buckets)), TokenKeys.schema)
+            segments = counted.groupBy("bucket").applyInPandas(by_group(TokenClasses(buckets, rare_bits, often_bits, often)), TokenClasses.schema).collect()  # the filters' own bits
+        for r in segments:
             twice.place(r["bucket"], r["twice"])
             often_f.place(r["bucket"], r["often"])
         self.shared = self.spark.sparkContext.broadcast((twice, often_f))
