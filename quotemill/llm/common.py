@@ -39,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of text in an Arrow batch at most, while a table is written; a batch is held in the JVM and in Python at once.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of such a batch, but for a single longer row.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: Shuffle files of a table go once it is written; should they be asked for again, Spark makes them anew.
@@ -47,14 +50,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Smaller Arrow batches for what is planned inside; the session's setting comes back afterwards."""
-    old = spark.conf.get(_BATCH)
+    """Smaller Arrow batches, by rows and by bytes, for what is planned inside; the session's settings come back afterwards."""
+    old, old_bytes = spark.conf.get(_BATCH), spark.conf.get(_BATCH_BYTES, None)
     if not 0 < int(old) <= rows:
         spark.conf.set(_BATCH, str(rows))
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     try:
         yield
     finally:
         spark.conf.set(_BATCH, old)
+        if old_bytes is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, old_bytes)
 
 
 @contextlib.contextmanager

@@ -34,7 +34,7 @@ LANDMARKS = 128
 RIDGE = 0.05
 UNDETERMINED = "und"
 SLICE = 256 << 10
-SEEN_BYTES = 32 << 20
+SEEN_BYTES = 8 << 20
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
