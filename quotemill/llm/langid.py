@@ -122,8 +122,11 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_set(data: np.ndarray) -> np.ndarray:
     """The sorted slots of a text's n-grams."""
+    cuts = np.array([0, len(data)])
+    if len(data) <= SLICE:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *[slot for _, slot in grams(data, cuts)]])).astype(np.int32)
     seen = np.zeros(SLOTS, bool)
-    for _, slot in grams(data, np.array([0, len(data)])):
+    for _, slot in grams(data, cuts):
         seen[slot] = True
     return np.flatnonzero(seen).astype(np.int32)
 
