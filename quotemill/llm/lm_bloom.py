@@ -35,6 +35,10 @@ CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 8
 #: Text bytes whose n-grams fall into a bucket, and the fewest and most buckets.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 24, 256, 1 << 16
+#: Keys of a bucket that are sorted and probed at once.
+PIECE_KEYS = 1 << 19
+#: Top bits of a key that are the same at all its levels.
+FIXED_BITS = 20
 END = np.uint64(0xE5A9D1C37B2F8604)
 LEVEL_STEP = 0xC2B2AE3D27D4EB4F
 
@@ -149,14 +153,10 @@ class Counts:
                 yield kind + n, b, b"".join(x.astype(np.uint32).tobytes() for x in cols), b""
 
 
-class WordCounts:
-    """Exact (hash, count) of the words of a bucket."""
-
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in pdf["keys"]]])
-        counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in pdf["counts"]]])
-        keys, back = np.unique(keys, return_inverse=True)
-        return pd.DataFrame({"hash": keys.view(np.int64), "count": np.bincount(back, counts).astype(np.int64)})
+def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their exact counts."""
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, counts, len(keys)).astype(np.int64)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +172,20 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def leveled(keys: np.ndarray, level: int) -> np.ndarray:
-    """The filter's key of an n-gram at a level; its top 20 bits, and so its bucket, stay."""
-    low = np.uint64((1 << 44) - 1)
+    """The filter's key of an n-gram at a level; its top ``FIXED_BITS`` bits, and so its bucket, stay."""
+    low = np.uint64((1 << 64 - FIXED_BITS) - 1)
     return keys & ~low | (keys + np.uint64(level * LEVEL_STEP & 0xFFFFFFFFFFFFFFFF)) & low
 
 
 class Segment:
     """Reduce side of one bucket: exact word counts, the filter's segment of all its n-grams at all their levels, and its answers.
 
-    The segment has ``BITS_PER_ENTRY`` bits an entry, or its part of ``bits`` where that is given.  The first row, of chunk -1, holds the
-    counts; a row for each row of n-grams asked for holds their levels.
+    A bucket of more than ``PIECE_KEYS`` keys is worked off in ranges of hashes, each with a segment of its own, so that sorting and
+    probing take as much memory whatever the bucket's size; all that grows with it are the keys and their counts.
+
+    A segment has ``BITS_PER_ENTRY`` bits an entry, or its part of ``bits`` where that is given, which leaves the bucket whole.  The first
+    row, of chunk -1, holds the counts, and the segments where nothing is asked for; a row for each row of n-grams asked for holds their
+    levels.
     """
 
     schema = "chunk long, kind int, bucket int, levels binary, hashes binary, counts binary, n long, v long, segment binary"
@@ -191,19 +195,45 @@ class Segment:
 
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, bits = int(pdf["bucket"].iloc[0]), self.buckets.bit_length() - 1
-        kind = pdf["kind"].to_numpy()
-        w = WordCounts()(pdf[kind == 0])
-        sets = [(w["hash"].to_numpy().view(np.uint64) >> np.uint64(24) << np.uint64(24), w["count"].to_numpy())]
-        longer = pdf[kind % 3 > 0]
-        parts = [unpack_keys(x, bucket, bits) for x in longer["keys"]]
-        keys, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]]), return_inverse=True)
-        seen = np.repeat(longer["kind"].to_numpy() < 3, [len(p[0]) for p in parts])
-        counts = np.bincount(back, np.concatenate([np.zeros(0), *[p[1] for p in parts]]) * seen, len(keys)).astype(np.int64)
-        keys <<= np.uint64(24)
-        sets.append((keys[counts > 0], counts[counts > 0]))
-        del parts
+        kind, asked = pdf["kind"].to_numpy(), "chunk" in pdf
+        sizes = [int(np.frombuffer(x, np.uint32, 1)[0]) if k % 3 else len(x) // 8 for k, x in zip(kind, pdf["keys"], strict=True)]
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        keys, counts = np.empty(edges[-1], np.uint64), np.zeros(edges[-1], np.uint32)
+        for k, x, c, i, j in zip(kind, pdf["keys"], pdf["counts"], edges[:-1], edges[1:], strict=True):
+            if k % 3:
+                own, many = unpack_keys(x, bucket, bits)
+                keys[i:j] = own << np.uint64(24)
+            else:
+                keys[i:j], many = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint32)
+            if k < 3:  # those held out are asked for only
+                counts[i:j] = many
+        longer, word = np.repeat(kind % 3 > 0, sizes), np.repeat(kind == 0, sizes)
+        more = 0
+        while PIECE_KEYS << more < len(keys) and self.bits is None and bits + more < FIXED_BITS:
+            more += 1
+        piece = (keys << np.uint64(bits) >> np.uint64(64 - more)).astype(np.uint32) if more else None
+        found, parts = np.zeros(len(keys) if asked else 0, np.uint8), []
+        for p in range(1 << more):
+            at = np.flatnonzero(piece == p) if more else slice(None)
+            hashes, own, segment, answers = self._piece(keys[at], counts[at], longer[at], word[at], asked)
+            parts.append((hashes, own, b"" if asked else segment))
+            if asked:
+                found[at] = answers
+        hashes, own = (np.concatenate([x[i] for x in parts]) for i in range(2))
+        out = pd.DataFrame({"chunk": [-1], "kind": [-1], "bucket": [bucket], "levels": [b""], "hashes": [hashes.tobytes()], "counts": [own.tobytes()], "n": [int(own.sum())], "v": [len(own)], "segment": [b"".join(x[2] for x in parts)]})
+        if not asked:
+            return out
+        answers = [found[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        asked = pd.DataFrame({"chunk": pdf["chunk"], "kind": kind, "bucket": bucket, "levels": answers, "hashes": b"", "counts": b"", "n": 0, "v": 0, "segment": b""})
+        return pd.concat([out, asked], ignore_index=True)
+
+    def _piece(self, keys: np.ndarray, counts: np.ndarray, longer: np.ndarray, word: np.ndarray, asked: bool) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray | None]:
+        """Words and their counts, the segment, and the levels of all keys, in their order."""
+        hashes, own = tally(keys[word], counts[word])
+        others, back = np.unique(keys[longer], return_inverse=True)
+        many = np.bincount(back, counts[longer], len(others)).astype(np.int64)
         found, level = [np.zeros(0, np.uint64)], 1
-        left, high = np.concatenate([s[0] for s in sets]), levels(np.concatenate([s[1] for s in sets]))
+        left, high = np.concatenate([hashes >> np.uint64(24) << np.uint64(24), others[many > 0]]), levels(np.concatenate([own, many[many > 0]]))
         while (m := high >= level).any():
             left, high = left[m], high[m]
             found.append(leveled(left, level))
@@ -212,22 +242,15 @@ class Segment:
         size = len(entries) * BITS_PER_ENTRY if self.bits is None else self.bits // self.buckets
         bloom = SegmentedBloom(-(-size // 64) * 64, 1, HASHES)
         segment = bloom.segment_bytes(entries, 0)
+        if not asked:
+            return hashes, own, segment, None
+        del found, left, high, entries
         bloom.place(0, segment)
-        hashes, counts = w["hash"].to_numpy(), w["count"].to_numpy()
-        out = pd.DataFrame({"chunk": [-1], "kind": [-1], "bucket": [bucket], "levels": [b""], "hashes": [hashes.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(counts)], "segment": [segment]})
-        if "chunk" not in pdf:
-            return out
-        single = [np.frombuffer(x, np.uint64) for x in pdf["keys"][kind % 3 == 0]]
-        own, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *single]), return_inverse=True)
-        given = {True: probe(bloom, keys, level - 1)[back], False: probe(bloom, own, level - 1)[where]}
-        answers, at = [], {True: 0, False: 0}
-        for k, blob in zip(kind, pdf["keys"], strict=True):
-            longer = bool(k % 3)
-            n = int(np.frombuffer(blob, np.uint32, 1)[0]) if longer else len(blob) // 8
-            answers.append(given[longer][at[longer] : at[longer] + n].tobytes())
-            at[longer] += n
-        asked = pd.DataFrame({"chunk": pdf["chunk"], "kind": kind, "bucket": bucket, "levels": answers, "hashes": b"", "counts": b"", "n": 0, "v": 0, "segment": b""})
-        return pd.concat([out, asked], ignore_index=True)
+        answers = np.empty(len(keys), np.uint8)
+        answers[longer] = probe(bloom, others, level - 1)[back]
+        singles, back = np.unique(keys[~longer], return_inverse=True)
+        answers[~longer] = probe(bloom, singles, level - 1)[back]
+        return hashes, own, segment, answers
 
 
 def probe(bloom: SegmentedBloom, keys: np.ndarray, most: int = 63) -> np.ndarray:

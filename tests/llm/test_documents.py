@@ -285,6 +285,46 @@ def test_segment_follows_its_entries():
     assert lm_bloom.probe(full, keys, 5).max() == 5
 
 
+def test_a_large_bucket_takes_little_memory():
+    """A bucket is worked off in pieces: beside its keys and rows, memory does not follow its size, and nothing of it is left out."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    blobs, counts, chunks = [], [], []
+    for chunk in range(24):
+        keys = np.unique(rng.integers(0, 1 << 62, 150_000, dtype=np.uint64) | np.uint64(1) << np.uint64(62))
+        own = rng.integers(1, 40, len(keys))
+        for kind in (0, 1, 3, 4):
+            part = keys if kind % 3 == 0 else np.unique(keys >> np.uint64(24))
+            if kind % 3:
+                steps = np.diff(part, prepend=np.uint64(1 << 38))
+                assert steps.max() < 1 << 32
+                head, many = [len(part), 0, len(part)], [np.arange(len(part)), own[: len(part)]]
+                blobs.append(b"".join(np.asarray(x).astype(np.uint32).tobytes() for x in (head, steps, *many)))
+                counts.append(b"")
+            else:
+                blobs.append(part.tobytes())
+                counts.append(own.astype(np.uint32).tobytes() if kind == 0 else b"")
+            chunks.append((chunk, kind))
+    pdf = pd.DataFrame({"chunk": [c for c, _ in chunks], "kind": [k for _, k in chunks], "bucket": 1, "keys": blobs, "counts": counts})
+    tracemalloc.start()
+    out = lm_bloom.Segment(4)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = np.concatenate([np.frombuffer(x, np.uint64) for x, (_, k) in zip(blobs, chunks, strict=True) if k == 0])
+    told = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
+    order = np.argsort(words)
+    assert (np.frombuffer(out["hashes"][0], np.uint64) == words[order]).all() and (np.frombuffer(out["counts"][0], np.int64) == told[order]).all()
+    assert out["n"][0] == told.sum() and out["v"][0] == len(words)
+    for (_, kind), blob, found in zip(chunks, pdf["counts"], out["levels"][1:], strict=True):
+        if kind == 0:
+            assert (np.frombuffer(found, np.uint8) >= lm_bloom.levels(np.frombuffer(blob, np.uint32))).all()
+    n = sum(len(x) for x in out["levels"])
+    assert n > 14_000_000 and peak < 40 * n
+
+
 def _entropy(w):
     w = w[w > 0]
     return -(w * np.log(w)).sum()
