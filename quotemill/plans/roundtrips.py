@@ -80,6 +80,7 @@ def stored_nbbo(spark, sf_dir):
     cfg, folder = NbboConfig(winsor="clip", quantiles=QUANTILES), files.scratch_dir(spark)
     path = stored.write_nbbo(build_nbbo(quote_tape(spark, sf_dir), cfg), folder, cfg)
     x = stored.read_nbbo(spark, path, (2000, 2100))
+    x = x.withColumns({c: F.col(c).cast("double") for c in ("mid", "log_return")})
     return x.select("symbol", "year", "ts", "mid", r("log_return"), F.lit(path.removeprefix(f"{folder}/")).alias("folder"))
 
 
@@ -114,9 +115,8 @@ SELECT CAST(day // 10000 AS INTEGER) AS year, CAST(day AS INTEGER) AS day, num_t
 def stored_daily(spark, sf_dir):
     folder = files.scratch_dir(spark)
     stored.write_daily(pnl.daily_pnl(_trades(spark, sf_dir, TRADE_ALL)), folder)
-    x = spark.read.option("header", True).csv(folder)
-    number = lambda c: (F.round(F.col(c).cast("double"), 8) + F.lit(0.0)).alias(c)
-    return x.select(F.col("year").cast("int").alias("year"), F.col("day").cast("int").alias("day"), F.col("num_trades").cast("long").alias("num_trades"), number("net_ret_sum"), number("cumulative_net_ret"))
+    x = stored.read_daily(spark, folder)
+    return x.select("year", "day", "num_trades", r("net_ret_sum", 8), r("cumulative_net_ret", 8))
 
 
 @query(f"""WITH {tape_sql()}, g AS (SELECT {CATEGORY} AS category, CAST(tod_ms // 3600000 AS INTEGER) AS hour, count(*) AS n FROM tape WHERE {GOOD} AND {CATEGORY} IS NOT NULL GROUP BY 1, 2),

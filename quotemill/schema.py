@@ -18,7 +18,9 @@ TRADES = _of(
     *[(c, _D) for c in ("mid_in", "mid_out", "spread_in", "direction_score", "expected_edge_ret", "cost_ret", "gross_ret", "net_ret")],
     ("side", T.IntegerType()),
 )
-DAILY = ("day", "num_trades", "gross_ret_sum", "net_ret_sum", "gross_ret_mean", "net_ret_mean", "cumulative_net_ret")
+DAILY = _of(("day", T.IntegerType()), ("num_trades", _L), *[(c, _D) for c in ("gross_ret_sum", "net_ret_sum", "gross_ret_mean", "net_ret_mean", "cumulative_net_ret")])
+#: Folders of tables that are stored by symbol and year.
+FOLDERS = _of(("symbol", T.StringType()), ("year", T.IntegerType()))
 
 
 def require_columns(df: DataFrame, names: list[str], what: str = "input") -> DataFrame:

@@ -7,14 +7,16 @@ import json
 from dataclasses import asdict
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BinSpec, NbboConfig
 from ..functions import timecols
 from ..operators.histogram import Model, with_tau_fallback
 from ..operators.nbbo import stamped
-from ..schema import DAILY, EVENTS, TRADES, require_columns
+from ..schema import DAILY, EVENTS, FOLDERS, NBBO, TRADES, require_columns
 from . import files
 
 
@@ -24,6 +26,20 @@ def _by_year(x: DataFrame, order: str, day: str = "day"):
     return (x.drop(day) if day == "_day" else x).write.mode("overwrite").partitionBy("symbol", "year")
 
 
+def _by_folder(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + FOLDERS.fields)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet by its own schema.  A table without rows has no file to tell one, and takes ``schema``; a missing path is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], _by_folder(schema))
+
+
 def write_nbbo(nbbo: DataFrame, out: str, cfg: NbboConfig) -> str:
     """``out/<mode>/symbol=/year=``, the year being each row's own; a log return that is not finite is null."""
     path = f"{out}/{cfg.mode}"
@@ -35,7 +51,7 @@ def write_nbbo(nbbo: DataFrame, out: str, cfg: NbboConfig) -> str:
 
 
 def read_nbbo(spark: SparkSession, path: str, years: tuple[int, int] = (0, 0)) -> DataFrame:
-    x = require_columns(spark.read.parquet(path), ["ts", "mid"], path)
+    x = require_columns(_read(spark, path, NBBO), ["ts", "mid"], path)
     return _within(x, years)
 
 
@@ -53,7 +69,7 @@ def write_events(events: DataFrame, out: str) -> None:
 
 def read_events(spark: SparkSession, path: str, years: tuple[int, int] = (0, 0), symbol: str | None = None) -> DataFrame:
     """Stored events with day and ms; foreign files without partition folders take ``symbol``."""
-    x = require_columns(spark.read.parquet(path), EVENTS.names, path)
+    x = require_columns(_read(spark, path, EVENTS), EVENTS.names, path)
     ts = F.col("ts").cast("long")
     x = x.withColumns({"ts": ts, "day": F.col("date").cast("int"), "ms": timecols.ms_of_day(ts)})
     if "year" not in x.columns:
@@ -116,8 +132,13 @@ def write_trades(trades: DataFrame, out: str) -> None:
 
 
 def write_daily(daily: DataFrame, out: str) -> None:
-    x = _digits(daily.select("symbol", "year", *DAILY))
-    _by_year(x, "day", "year").option("header", True).csv(out)  # a row a day
+    """Sums are stored whole: rounded to ten digits, they would round otherwise once more at the eighth decimal."""
+    _by_year(daily.select("symbol", "year", *DAILY.names), "day", "year").option("header", True).csv(out)  # a row a day
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Daily results with symbol and year, none where no day had trades; a missing path or another header is an error."""
+    return spark.read.schema(_by_folder(DAILY)).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:

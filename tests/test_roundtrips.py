@@ -8,7 +8,7 @@ from quotemill.__main__ import parser, run
 from quotemill.config import NbboConfig, QuoteConfig
 from quotemill.plans.pipeline import stored_grid
 from quotemill.plans.timing import Timings
-from quotemill.sources import files
+from quotemill.sources import files, stored
 from quotemill.sources.quotes import read_quotes
 
 from .test_engine import random_tape, tape
@@ -47,3 +47,37 @@ def test_texts_in_any_store(spark, tmp_path):
     path = f"file://{tmp_path}/sub/a.txt"
     files.write_text(spark, path, "é\nx")
     assert files.read_text(spark, path) == "é\nx" and files.exists(spark, path) and not files.exists(spark, path + "x")
+
+
+@pytest.mark.parametrize("n", [0, 6000])
+def test_stored_tables_without_rows(spark, tmp_path, n):
+    """No quotes at all, or so many a minute that every book is crossed, and no event has a spread to trade on: tables without rows, of the same columns."""
+    import datetime
+
+    from quotemill.plans.roundtrips import stored_daily, stored_events, stored_nbbo, stored_trades
+
+    full, at = {}, datetime.datetime(2024, 1, 2, 12, tzinfo=datetime.timezone.utc)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    few = [(i, at + datetime.timedelta(seconds=37 * i), i, "view", i % 7 / 100) for i in range(300)]
+    many = [(i, at + datetime.timedelta(seconds=i // 10), 1 + i % 7, "view", i % 13 / 100) for i in range(n)]
+    for name, rows in (("few", few), ("many", many)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "events.parquet"))
+    for f in (stored_daily, stored_trades, stored_events, stored_nbbo):
+        full[f], got = f(spark, str(tmp_path / "few")), f(spark, str(tmp_path / "many"))
+        assert got.dtypes == full[f].dtypes and full[f].count() > 0
+        assert (got.count() == 0) == (n == 0 or f in (stored_daily, stored_trades))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        stored.read_daily(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        stored.read_events(spark, str(tmp_path / "none"))
+
+
+def test_daily_results_are_stored_whole(spark, tmp_path):
+    """A sum just under a tie rounds as it does before it is stored."""
+    row = ("S", 2024, 20240102, 3, -0.5, -1.07281569499, 0.1 + 0.2, 1 / 3, 1.07281569499)
+    names = "symbol string, year int, day int, num_trades long, gross_ret_sum double, net_ret_sum double, gross_ret_mean double, net_ret_mean double, cumulative_net_ret double"
+    stored.write_daily(spark.createDataFrame([row], names), str(tmp_path / "d"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "d")).collect()
+    assert [float(back[0][c]) for c in ("gross_ret_sum", "net_ret_sum", "gross_ret_mean", "net_ret_mean", "cumulative_net_ret")] == list(row[4:])
+    got = stored.read_daily(spark, str(tmp_path / "d")).collect()[0].asDict()
+    assert got == dict(zip([x.split()[0] for x in names.split(", ")], row, strict=True))
