@@ -198,7 +198,10 @@ class Segment:
         kind, asked = pdf["kind"].to_numpy(), "chunk" in pdf
         sizes = [int(np.frombuffer(x, np.uint32, 1)[0]) if k % 3 else len(x) // 8 for k, x in zip(kind, pdf["keys"], strict=True)]
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        keys, counts = np.empty(edges[-1], np.uint64), np.zeros(edges[-1], np.uint32)
+        more = 0
+        while PIECE_KEYS << more < edges[-1] and self.bits is None and bits + more < FIXED_BITS:
+            more += 1
+        keys, counts, piece = np.empty(edges[-1], np.uint64), np.zeros(edges[-1], np.uint32), np.zeros(edges[-1] if more else 0, np.uint16)
         for k, x, c, i, j in zip(kind, pdf["keys"], pdf["counts"], edges[:-1], edges[1:], strict=True):
             if k % 3:
                 own, many = unpack_keys(x, bucket, bits)
@@ -207,11 +210,9 @@ class Segment:
                 keys[i:j], many = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint32)
             if k < 3:  # those held out are asked for only
                 counts[i:j] = many
+            if more:
+                piece[i:j] = keys[i:j] << np.uint64(bits) >> np.uint64(64 - more)
         longer, word = np.repeat(kind % 3 > 0, sizes), np.repeat(kind == 0, sizes)
-        more = 0
-        while PIECE_KEYS << more < len(keys) and self.bits is None and bits + more < FIXED_BITS:
-            more += 1
-        piece = (keys << np.uint64(bits) >> np.uint64(64 - more)).astype(np.uint32) if more else None
         found, parts = np.zeros(len(keys) if asked else 0, np.uint8), []
         for p in range(1 << more):
             at = np.flatnonzero(piece == p) if more else slice(None)
